@@ -1,4 +1,210 @@
-"""The engine's registered queries and their SQL oracles."""
+"""The engine's registered queries; ``oracles`` has their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import features as ft
+from ..functions import vectors as vx
+from ..operators import evaluate, ivf, kmeans, search
+from ..operators.index import IvfIndex
+from ..sources.payloads import parse_payloads, split_rejects
+from .adapters import payloads, quantized, query_set, references, table
+from .oracles import FAST, FULL, K, NPROBES, ORACLES, ROUNDS
+
+__all__ = ["ORACLES", "QUERIES"]
+
+
+def _features(spark: SparkSession, sf_dir: str, dims: list[int]) -> DataFrame:
+    made = ft.feature_columns()
+    return payloads(spark, sf_dir).select("event_id", *(made[d].cast("double").alias(f"f{d}") for d in dims))
+
+
+def feature_scalars(spark, sf_dir):
+    return _features(spark, sf_dir, [0, 1, 2, 7, 8, 13])
+
+
+def feature_calendar(spark, sf_dir):
+    return _features(spark, sf_dir, [3, 4])
+
+
+def feature_last_tx(spark, sf_dir):
+    return _features(spark, sf_dir, [5, 6])
+
+
+def feature_flags(spark, sf_dir):
+    return _features(spark, sf_dir, [9, 10, 11])
+
+
+def feature_mcc_risk(spark, sf_dir):
+    return _features(spark, sf_dir, [12])
+
+
+def feature_vector(spark, sf_dir):
+    made = ft.vectorize(payloads(spark, sf_dir)).select("event_id", F.posexplode("vector").alias("dim", "x"))
+    return made.select("event_id", "dim", F.col("x").cast("double").alias("value"))
+
+
+def payload_json_roundtrip(spark, sf_dir):
+    """Payloads written as JSON, parsed again and vectorised; malformed texts are rejected."""
+    p = payloads(spark, sf_dir)
+    raw = p.select("event_id", F.to_json(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction")).alias("body"))
+    good, _ = split_rejects(parse_payloads(raw))
+    made = ft.vectorize(good)
+    return made.select("event_id", *(F.col("vector")[d].cast("double").alias(f"f{d}") for d in (0, 2, 3, 4, 5, 6, 8)))
+
+
+def quantize_scale(spark, sf_dir):
+    largest = vx.abs_max(references(spark, sf_dir), "v")
+    return spark.range(1).select(F.lit(largest).alias("largest"), F.lit(vx.fit_scale(largest)).alias("scale"))
+
+
+def quantize_vectors(spark, sf_dir):
+    made, _ = quantized(references(spark, sf_dir))
+    return made.select(F.col("ref_id").alias("vec_id"), F.posexplode("v").alias("dim", "x")).select("vec_id", "dim", F.col("x").cast("int").alias("q"))
+
+
+def _pairs(refs: DataFrame) -> DataFrame:
+    parts = [F.broadcast(b) for b in search.blocks(query_set(refs), "qid")]
+    return search._union([refs.crossJoin(b.select("qid", F.col("v").alias("qv"))) for b in parts])
+
+
+def l2_float_pairs(spark, sf_dir):
+    pairs = _pairs(references(spark, sf_dir))
+    return pairs.select("qid", F.col("ref_id").alias("vec_id"), F.round(vx.l2_float(F.col("qv"), F.col("v")), 6).alias("d"))
+
+
+def l2_int_pairs(spark, sf_dir):
+    pairs = _pairs(quantized(references(spark, sf_dir))[0])
+    return pairs.select("qid", F.col("ref_id").alias("vec_id"), vx.l2_int(F.col("qv"), F.col("v")).alias("d"))
+
+
+def _exact(spark, sf_dir, integer: bool) -> DataFrame:
+    refs = references(spark, sf_dir)
+    refs = quantized(refs)[0] if integer else refs
+    return search.exact_knn(query_set(refs), refs, integer=integer)
+
+
+def knn_exact_int(spark, sf_dir):
+    return _exact(spark, sf_dir, True).select("qid", F.col("ref_id").alias("vec_id"), "d", "rn")
+
+
+def knn_exact_float(spark, sf_dir):
+    return _exact(spark, sf_dir, False).select("qid", F.col("ref_id").alias("vec_id"), "rn")
+
+
+def knn_vote(spark, sf_dir):
+    return search.vote(_exact(spark, sf_dir, True)).select("qid", "n_fraud", "n_neighbours", "approved")
+
+
+def _named(refs: DataFrame) -> DataFrame:
+    return refs.withColumnRenamed("ref_id", "vec_id")
+
+
+def kmeans_init(spark, sf_dir):
+    c = kmeans.initial(references(spark, sf_dir), K)
+    rows = [(i, d, float(x)) for i, v in enumerate(c) for d, x in enumerate(v)]
+    return spark.createDataFrame(rows, "cid int, dim int, x double")
+
+
+def kmeans_assign(spark, sf_dir):
+    refs = references(spark, sf_dir)
+    return _named(kmeans.assign(refs.select("ref_id", "v"), kmeans.initial(refs, K)).select("ref_id", "cid"))
+
+
+def kmeans_update(spark, sf_dir):
+    refs = references(spark, sf_dir)
+    c = kmeans.update(refs, kmeans.initial(refs, K))
+    rows = [(i, d, float(x)) for i, v in enumerate(c) for d, x in enumerate(v)]
+    return spark.createDataFrame(rows, "cid int, dim int, x double")
+
+
+def kmeans_movement(spark, sf_dir):
+    model = kmeans.train(references(spark, sf_dir), K, ROUNDS)
+    return spark.createDataFrame([(t + 1, round(m, 6)) for t, m in enumerate(model.movements)], "round int, movement double")
+
+
+def kmeans_t3(spark, sf_dir):
+    refs = references(spark, sf_dir)
+    model = kmeans.train(refs, K, ROUNDS)
+    return _named(kmeans.assign(refs.select("ref_id", "v"), model.assigned_by).select("ref_id", "cid"))
+
+
+def _index(spark, sf_dir) -> tuple[DataFrame, IvfIndex]:
+    refs = references(spark, sf_dir)
+    return refs, IvfIndex.build(refs, K, ROUNDS)
+
+
+def ivf_list_sizes(spark, sf_dir):
+    return _index(spark, sf_dir)[1].sizes()
+
+
+def ivf_probe(spark, sf_dir):
+    refs, index = _index(spark, sf_dir)
+    return ivf.probe(query_set(refs), index, FULL)
+
+
+def ivf_search(spark, sf_dir):
+    refs, index = _index(spark, sf_dir)
+    return ivf.ivf_search(query_set(refs), index, FULL).select("qid", F.col("ref_id").alias("vec_id"), "d", "rn")
+
+
+def ivf_adaptive(spark, sf_dir):
+    refs, index = _index(spark, sf_dir)
+    return ivf.adaptive_vote(query_set(refs), index, FAST, FULL)
+
+
+def nprobe_sweep(spark, sf_dir):
+    """Wrong decisions and recall of the exact answer, for each probe count."""
+    refs, index = _index(spark, sf_dir)
+    q = query_set(refs)
+    counts = ivf.sweep(q, index, NPROBES, skip_self=True).join(F.broadcast(q.select("qid", "actual")), "qid")
+    wrong = (F.col("actual") == 1) != (F.col("n_fraud") >= 3)
+    return counts.groupBy("nprobe").agg(F.count("*").alias("n"), F.sum("n_fraud").alias("votes"), F.sum(wrong.cast("int")).alias("wrong"))
+
+
+def ivf_recall(spark, sf_dir):
+    refs, index = _index(spark, sf_dir)
+    q = query_set(refs)
+    return evaluate.recall(ivf.ivf_search(q, index, FULL, skip_self=True), search.exact_knn(q, refs, integer=False), vx.TOP_K)
+
+
+def confusion_score(spark, sf_dir):
+    refs = quantized(references(spark, sf_dir))[0]
+    q = query_set(refs)
+    rows = search.vote(search.exact_knn(q, refs)).join(F.broadcast(q.select("qid", "actual")), "qid")
+    rows = rows.withColumn("predicted", (~F.col("approved")).cast("int"))
+    made = evaluate.detection_score(evaluate.confusion(rows))
+    return made.select("n", "tp", "fp", "fn", "tn", "errors", "weighted_errors", F.round("detection_score", 6).alias("detection_score"))
+
+
+def latency_score(spark, sf_dir):
+    made = evaluate.latency_score(table(spark, sf_dir, "events"), "value")
+    return made.select(*(F.round(c, 6).alias(c) for c in made.columns))
+
+
+def latency_histogram(spark, sf_dir):
+    return evaluate.latency_histogram(table(spark, sf_dir, "events"), "value", [1.0, 5.0, 10.0, 50.0, 100.0])
+
+
+def stage_stats(spark, sf_dir):
+    made = evaluate.stage_stats(table(spark, sf_dir, "events"), "event_type", "value")
+    return made.withColumn("average", F.round("average", 6)).withColumn("share", F.round("share", 6))
+
+
+def decision_json(spark, sf_dir):
+    votes = search.vote(_exact(spark, sf_dir, True))
+    return votes.select("qid", vx.decision_json(F.col("n_fraud")).alias("response"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        feature_scalars, feature_calendar, feature_last_tx, feature_flags, feature_mcc_risk, feature_vector, payload_json_roundtrip,
+        quantize_scale, quantize_vectors, l2_float_pairs, l2_int_pairs, knn_exact_int, knn_exact_float, knn_vote,
+        kmeans_init, kmeans_assign, kmeans_update, kmeans_movement, kmeans_t3,
+        ivf_list_sizes, ivf_probe, ivf_search, ivf_adaptive, nprobe_sweep, ivf_recall,
+        confusion_score, latency_score, latency_histogram, stage_stats, decision_json,
+    )
+}
