@@ -19,7 +19,10 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     """Large: a node's larger neighbours go to the least of it and its neighbours.
     Small: the same for its smaller neighbours and itself."""
     near = links.union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m"))
+    # Written, so that the join's sides are plain shuffles, which adaptive
+    # execution splits where one node has most of the links.
+    near = written(near, "links-near")
+    least = written(near.groupBy("u").agg(F.min("v").alias("low")).select("u", F.least("u", "low").alias("m")), "links-least")
     met = near.join(least, "u")
     if large:
         return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
