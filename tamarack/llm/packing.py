@@ -121,7 +121,7 @@ def pack(
     """Pieces: id, start, length, ids_crc32, doc_tokens, sequence_id, offset and,
     ``with_ids``, the piece's ids.  ``end_id`` closes each document."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    tokens = written(_tokenised(docs, tokenizer_path, end_id, id_col, text_col), "packing-tokens")
+    tokens = written(_tokenised(docs, tokenizer_path, end_id, id_col, text_col), "packing-tokens", "zstd")
     keyed = written(_keyed(tokens.select("uid", "n", *(f"p{k}" for k in range(DIMS)))), "packing-keys")
     curve = keyed.repartitionByRange(parts, "key", "uid").select("uid", "n", "key", F.spark_partition_id().alias("part"))
     curve = written(curve, "packing-curve")

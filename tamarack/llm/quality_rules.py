@@ -149,7 +149,7 @@ def judge(docs: DataFrame, keep_at: float = 0.5, carry: list[str] | None = None,
     ``_base_failed``, ``_posterior`` and ``_kept``."""
     carry = docs.columns if carry is None else carry
     made = with_features(docs, text_col).select(*(F.col(c) for c in carry), *(f"_{c}" for c in BASE + EXTRA))
-    made = written(made, "quality-features")
+    made = written(made, "quality-features", "zstd")
     rules = [v.alias(r) for v, r in zip(votes(), RULES, strict=True)]
     # Documents that fail the base are out anyway; left in, their faults, which come
     # together, would be all that "bad" means.
