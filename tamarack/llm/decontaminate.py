@@ -18,7 +18,8 @@ rows of one document are as many as its hits.
 Edge cases: null and empty texts have no words; items without words have no
 windows; an item with a null id counts as the id "null"; repeated items and
 repeated windows count once; repeated rows each give a row; null ids are kept;
-empty tables give no rows, or no hits; other columns are carried only if named.
+empty tables give no rows, or no hits; other columns are carried in
+one struct, so their names cannot clash.
 """
 
 from __future__ import annotations
@@ -67,7 +68,7 @@ def find_hits(
     item_col: str = "item_id",
     item_text_col: str = "text",
 ) -> DataFrame:
-    """The ``carry`` columns (None: all) of each row with _n_words, _spans (start,
+    """``row`` (a struct of the ``carry`` columns; None: all) of each row, _n_words, _spans (start,
     length of each window found, in words), _n_hit, _items (sorted ids)."""
     carry = docs.columns if carry is None else carry
     windows, window_items = _windows(benchmark, size, item_col, item_text_col)
@@ -111,4 +112,4 @@ def find_hits(
     step = lambda a, x: F.struct(F.greatest(a["end"], stop(x)).alias("end"), (a["n"] + F.greatest(F.lit(0), stop(x) - F.greatest(a["end"], x["s"]))).alias("n"))
     n_hit = F.aggregate("_spans", begin, step, lambda a: a["n"])
     out = hits.join(named.hint("shuffle_hash"), "uid", "left")
-    return out.select("row.*", F.col("_n_words").cast("long").alias("_n_words"), "_spans", n_hit.cast("long").alias("_n_hit"), F.coalesce("found", F.array().cast("array<string>")).alias("_items"))
+    return out.select("row", F.col("_n_words").cast("long").alias("_n_words"), "_spans", n_hit.cast("long").alias("_n_hit"), F.coalesce("found", F.array().cast("array<string>")).alias("_items"))

@@ -12,7 +12,8 @@ verdicts read that table.
 
 Edge cases: a null text has no words, as an empty one; both fail the base (under
 50 words); repeated rows each give a row; null ids are kept; an empty table gives
-no rows; other columns are carried only if named.  Very long texts take n log n
+no rows; other columns are carried
+in one struct, so their names cannot clash.  Very long texts take n log n
 steps: repeated windows are found by sorting window hashes.
 """
 
@@ -55,15 +56,15 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with the columns ``_`` + each of BASE and EXTRA (long)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    only = lambda kept: F.length(F.regexp_replace(text, f"[^{kept}]+", ""))
-    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
-    out = docs.withColumns({"_w": space_words(F.col(text_col)), "_lines": lines})
+def with_features(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
+    """``row``, a struct of the ``carry`` columns, and ``_`` + each of BASE and EXTRA (long)."""
+    out = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
+    only = lambda kept: F.length(F.regexp_replace("_t", f"[^{kept}]+", ""))
+    lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
+    out = out.withColumns({"_w": space_words(F.col("_t")), "_lines": lines})
     out = out.withColumns({
         "_n_words": F.size("_w"),
-        "_word_chars": F.length(F.regexp_replace(text, f"[{SPACE_CLASS}]+", "")),
+        "_word_chars": F.length(F.regexp_replace("_t", f"[{SPACE_CLASS}]+", "")),
         "_n_symbols": only("#*$%&|<>"),
         "_n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "_n_upper": only("A-Z"),
@@ -71,7 +72,7 @@ def with_features(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_n_lines": F.size("_lines"),
     })
     out = out.withColumn("_n_repeat_words", _repeat_words(F.col("_w"), F.col("_n_words")))
-    return out.withColumns({f"_{c}": F.col(f"_{c}").cast("long") for c in BASE + EXTRA}).drop("_w", "_lines")
+    return out.select("row", *(F.col(f"_{c}").cast("long").alias(f"_{c}") for c in BASE + EXTRA))
 
 
 def base_failed() -> Column:
@@ -98,7 +99,7 @@ def votes() -> list[Column]:
 
 
 #: Prior rates of a vote being wrong on a good and right on a bad document.
-WRONG_ON_GOOD, RIGHT_ON_BAD = 0.002, 0.5
+WRONG_ON_GOOD, RIGHT_ON_BAD = 0.002, 0.3
 
 
 def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
@@ -112,7 +113,8 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float,
     no other rule can confirm, must not pass for a property of good ones.  The
     one for bad documents is worth a twentieth.  A good vote never counts
     against a document, nor a bad one for it, and most documents are taken to be
-    good, so a document without a bad vote stays in every corpus.
+    good, so a document without a bad vote stays in every corpus.  The share of good
+    ones counts as 95 percent at most, so a rare fault weighs like a common one.
     """
     total = sum(patterns.values())
     n_rules = len(next(iter(patterns), RULES))
@@ -132,7 +134,7 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float,
             right = (on_bad[-1] + RIGHT_ON_BAD * extra) / (on_bad[-1] + on_bad[1] + extra)
             new.append((max(0.0, math.log((1 - wrong) / (1 - right))), min(0.0, math.log(wrong / right))))
         good = sum(n * posterior[p] for p, n in patterns.items())
-        share = max(0.5, (good + 0.9 * extra) / (total + extra))
+        share = min(0.95, max(0.5, (good + 0.9 * extra) / (total + extra)))
         odds = math.log(share / (1 - share))
         moved = max(abs(a - b) for x, y in zip(new, weights, strict=True) for a, b in zip(x, y, strict=True))
         weights = new
@@ -145,10 +147,9 @@ def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float,
 
 
 def judge(docs: DataFrame, keep_at: float = 0.5, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
-    """The ``carry`` columns (None: all) of each row with _-prefixed features,
-    ``_base_failed``, ``_posterior`` and ``_kept``."""
-    carry = docs.columns if carry is None else carry
-    made = with_features(docs, text_col).select(*(F.col(c) for c in carry), *(f"_{c}" for c in BASE + EXTRA))
+    """``row`` (a struct of the ``carry`` columns; None: all) of each row, the
+    _-prefixed features, ``_base_failed``, ``_posterior`` and ``_kept``."""
+    made = with_features(docs, docs.columns if carry is None else carry, text_col)
     made = written(made, "quality-features", "zstd")
     rules = [v.alias(r) for v, r in zip(votes(), RULES, strict=True)]
     # Documents that fail the base are out anyway; left in, their faults, which come

@@ -23,7 +23,7 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_hits(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), carry=["doc_id"])
     return found.select(
-        "doc_id",
+        "row.doc_id",
         F.col("_n_words").alias("n_words"),
         F.col("_n_hit").alias("n_hit"),
         F.size("_items").cast("long").alias("n_items"),
@@ -46,7 +46,7 @@ def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     made = quality_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
     renamed = [F.col(f"_{c}").alias(c) for c in [*quality_rules.BASE, "base_failed", "kept", "posterior"]]
-    return made.select("doc_id", *renamed)
+    return made.select("row.doc_id", *renamed)
 
 
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

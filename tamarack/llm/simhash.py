@@ -60,20 +60,17 @@ def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text
 
 
 def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
-    """Links (u, v) among distinct fingerprints ``fp`` at most ``radius`` (0 to 3) bits apart."""
-    if not 0 <= radius <= 3:
-        raise ValueError("radius: 0 to 3; larger balls have thousands of variants a fingerprint")
-    if radius < 2:
-        masks = [0] if radius == 0 else [0, *(1 << k for k in range(64))]
-    else:
-        masks = [0, *(1 << k for k in range(64))]
+    """Links (u, v) among distinct fingerprints ``fp`` at most ``radius`` (0 to 2) bits apart."""
+    if not 0 <= radius <= 2:
+        raise ValueError("radius: 0 to 2; half of a larger one has thousands of variants a fingerprint")
+    masks = [0, *(1 << k for k in range(64))] if radius else [0]
     signed = [m - (1 << 64) if m >> 63 else m for m in masks]
     balls = distinct.select("fp", F.explode(F.array(*(F.lit(m).cast("long") for m in signed))).alias("mask"))
     balls = balls.select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("variant"))
     if radius == 2:
         before = Window.partitionBy("variant").orderBy("fp")
         met = balls.withColumn("u", F.lag("fp").over(before)).where("u is not null").select("u", F.col("fp").alias("v"))
-    else:  # others of a variant may be further apart: look at each pair, 65 * 64 / 2 at most
+    else:  # two of a variant may be further apart: look at each pair, 65 * 64 / 2 at most
         other = balls.select(F.col("fp").alias("u"), "variant")
         met = other.join(balls.withColumnRenamed("fp", "v"), "variant").where("u < v").select("u", "v")
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
@@ -102,4 +99,5 @@ def keep_one(docs: DataFrame, **options) -> DataFrame:
     id_col = options.get("id_col", "doc_id")
     found = near_duplicates(docs, **options).select(F.col(id_col).alias("_k"), F.col("component_id").alias("_c")).distinct()
     stay = written(found.where(F.col("_k").eqNullSafe(F.col("_c"))).select("_k"), "simhash-stay")
-    return docs.join(stay.hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_k")), "left_semi")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).alias("_i"))
+    return rows.join(stay.hint("shuffle_hash"), F.col("_i").eqNullSafe(F.col("_k")), "left_semi").select("row.*")

@@ -3,8 +3,9 @@
 A text is cut into sentences (ends: ``. ! ?`` before white space, and line
 breaks); a sentence of more than ``long_words`` words counts as several, cut
 every ``long_words`` words, so a passage with few full stops has several, too.
-From each sentence starts one span: the shortest run of at least ``run``
-sentences with at least ``min_words`` words.  Its digest (128 bits of the
+From each sentence starts one span, and at each ends one: the shortest run of at
+least ``run`` sentences with at least ``min_words`` words.  (With the first kind
+alone, a short last sentence of a repeated passage would be in no span.)  Its digest (128 bits of the
 lower-cased words) joins the same span in all documents.  A span's first
 occurrence is the one with the smallest (id, text hash, position); sentences that any
 other occurrence covers are removed.
@@ -57,17 +58,26 @@ def spans(text: str | None, run: int, min_words: int, long_words: int) -> tuple[
     """Sentences, and (first sentence, sentences, digest) of each span."""
     cut = sentences(text, long_words)
     words = [text[a:b].lower().split() for a, b in cut]
-    flat = [" ".join(w) for w in words]
-    out, end, have = [], 0, 0
+    flat, size = [" ".join(w) for w in words], [len(w) for w in words]
+    places, end, have = [], 0, 0
     for k in range(len(cut)):
         while end < len(cut) and (end - k < run or have < min_words):
-            have += len(words[end])
+            have += size[end]
             end += 1
         if end - k < run or have < min_words:
             break
-        out.append((k, end - k, hashlib.blake2b(" ".join(flat[k:end]).encode(), digest_size=16).digest()))
-        have -= len(words[k])
-    return cut, out
+        places.append((k, end))
+        have -= size[k]
+    first, have = 0, 0
+    for end in range(run, len(cut) + 1):
+        have += size[end - 1] if end > run else sum(size[:end])
+        while end - first > run and have - size[first] >= min_words:
+            have -= size[first]
+            first += 1
+        # If the run is long enough without its last sentence, no span starts and ends like it.
+        if have >= min_words and end - first > run and have - size[end - 1] >= min_words:
+            places.append((first, end))
+    return cut, [(a, b - a, hashlib.blake2b(" ".join(flat[a:b]).encode(), digest_size=16).digest()) for a, b in places]
 
 
 def remove_repeats(
