@@ -17,7 +17,7 @@ from tamarack.llm.queries import TOKENIZER
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents that fail the base or whose posterior is under a half go."""
-    return quality_rules.judge(docs).where("_kept").select(*docs.columns)
+    return quality_rules.judge(docs).where("_kept").select("row.*")
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -28,7 +28,7 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Decontamination: documents with a window of a benchmark item go."""
     found = decontaminate.find_hits(docs, table(spark, sf_dir, "benchmark"))
-    return found.where(F.col("_n_hit") == 0).select(*docs.columns)
+    return found.where(F.col("_n_hit") == 0).select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
