@@ -86,10 +86,13 @@ def mask_secrets(docs: DataFrame, ledger_path: str, id_col: str = "doc_id", text
     """``docs`` with findings masked, and ``length_col`` set anew where that changed a text."""
     _, entries = _ledger_run(docs, ledger_path, id_col, text_col)
     dirty = entries.where(F.size("found") > 0).select(F.col("digest").alias("_d"), "found")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(text_col).alias("_t"), digest_of(F.col(text_col)).alias("_digest"))
+    # The text travels once, in the row.
+    rows = docs.select(F.struct(*docs.columns).alias("row"), digest_of(F.col(text_col)).alias("_digest"))
     rows = rows.join(dirty, F.col("_digest") == F.col("_d"), "left")
-    rows = rows.withColumn("_t", F.when(F.col("found").isNotNull(), masked(F.col("_t"), F.col("found"), "[SECRET]")).otherwise(F.col("_t")))
-    out = {c: F.col("row").getField(c) for c in docs.columns} | {text_col: F.col("_t")}
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    mask = F.when(F.col("found").isNotNull(), masked(out[text_col], F.col("found"), "[SECRET]")).otherwise(out[text_col])
+    rows = rows.withColumn("_t", mask)
+    out[text_col] = F.col("_t")
     if length_col in docs.columns:
         changed = F.length("_t").cast(docs.schema[length_col].dataType)
         out[length_col] = F.when(F.col("found").isNotNull(), changed).otherwise(out[length_col])
