@@ -24,8 +24,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def references(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(ref_id, v, label) of all vectors."""
-    rows = table(spark, sf_dir, "embeddings")
+    """(ref_id, v, label) of all vectors; rows without a vector are no references."""
+    rows = table(spark, sf_dir, "embeddings").where(F.col("embedding").isNotNull())
     return rows.select(F.col("vec_id").alias("ref_id"), F.col("embedding").alias("v"), (F.col("label") < 3).cast("int").alias("label"))
 
 

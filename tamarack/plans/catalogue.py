@@ -42,8 +42,9 @@ def feature_mcc_risk(spark, sf_dir):
 
 
 def feature_vector(spark, sf_dir):
-    made = ft.vectorize(payloads(spark, sf_dir)).select("event_id", F.posexplode("vector").alias("dim", "x"))
-    return made.select("event_id", "dim", F.col("x").cast("double").alias("value"))
+    # Cast inside the array: the vector is then one expression, computed once a row.
+    wide = F.transform("vector", lambda x: x.cast("double"))
+    return ft.vectorize(payloads(spark, sf_dir)).select("event_id", F.posexplode(wide).alias("dim", "value"))
 
 
 def payload_json_roundtrip(spark, sf_dir):
