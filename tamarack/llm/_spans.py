@@ -15,7 +15,8 @@ SPAN = "array<struct<s:int,e:int,v:string>>"
 _BLOCK = 128
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
@@ -44,11 +45,11 @@ def matches(text: Column, pattern: str) -> Column:
 
         def joined(bs: Column) -> Column:
             sums = F.transform(bs, length)
-            return F.flatten(_let(sums, lambda n: F.transform(bs, lambda b, i: block_spans(b, F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda a, x: a + x)))))
+            return F.flatten(let(sums, lambda n: F.transform(bs, lambda b, i: block_spans(b, F.aggregate(F.slice(n, F.lit(1), i), F.lit(0), lambda a, x: a + x)))))
 
-        return _let(blocks, joined)
+        return let(blocks, joined)
 
-    return _let(parts, placed)
+    return let(parts, placed)
 
 
 def number_of(spans: str, k: int) -> Column:

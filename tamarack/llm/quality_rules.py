@@ -25,6 +25,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ._common import SPACE_CLASS, space_words, written
+from ._spans import let
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 EXTRA = ["n_upper", "n_marks", "n_lines"]
@@ -42,18 +43,13 @@ def _repeat_words(w: Column, n: Column) -> Column:
             twin = lambda x, i: F.get(s, i - 1)["h"].eqNullSafe(x["h"]) | F.get(s, i + 1)["h"].eqNullSafe(x["h"])
             return F.array_sort(F.transform(F.filter(s, twin), lambda x: x["p"]))
 
-        p = _let(s, places)
+        p = let(s, places)
         start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("n"))
         step = lambda a, x: F.struct((x + 3).alias("end"), (a["n"] + 3 - F.greatest(F.lit(0), a["end"] - x)).alias("n"))
         return F.aggregate(p, start, step, lambda a: a["n"])
 
     some = lambda x: F.when(F.size(F.array_distinct(x)) < F.size(x), covered(x)).otherwise(0)
-    return F.when(n < 3, 0).otherwise(_let(h, some))
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return F.when(n < 3, 0).otherwise(let(h, some))
 
 
 def with_features(docs: DataFrame, carry: list[str], text_col: str = "text") -> DataFrame:
