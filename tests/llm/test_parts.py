@@ -92,6 +92,12 @@ def test_encoder_special_strings_and_runs():
         assert FAST.ids(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids and FAST.count(text) == len(FAST.ids(text))
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "\t ", "\u3000"])
+def test_encoder_takes_runs_that_its_matcher_cannot(run):
+    text = "before" + run * 1_200_000 + "after"
+    assert FAST.ids(text).tolist() == SLOW.encode(text, add_special_tokens=False).ids and FAST.count(text) == len(FAST.ids(text))
+
+
 def test_other_vocabularies():
     import public_tokenizers
 
