@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 SPAN = "array<struct<s:int,e:int,v:string>>"
 _BLOCK = 128
+_PIECE = 512
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -52,6 +53,32 @@ def matches(text: Column, pattern: str) -> Column:
     return let(parts, placed)
 
 
+def pieces(text: Column) -> Column:
+    """``text`` in parts of ``_PIECE`` characters, for ``cut_from``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+
+
+def cut_from(parts: Column, start: Column, n: Column) -> Column:
+    """``n`` (at most ``_PIECE``) characters from ``start`` on, of a text given by its
+    ``pieces``; the cost does not grow with the text, as that of ``substring`` does."""
+    k = (start / _PIECE).cast("int")
+    both = F.concat(F.coalesce(F.get(parts, k), F.lit("")), F.coalesce(F.get(parts, k + 1), F.lit("")))
+    return F.substring(both, start % _PIECE + 1, n)
+
+
+def filter_near(spans: Column, others: Column, keep: Callable[[Column, Column], Column]) -> Column:
+    """The ``spans`` x (with s, e) for which ``keep(x, near)`` holds, ``near`` having all
+    ``others`` that overlap x.  ``others`` is searched once for every block of spans."""
+
+    def block_kept(block: Column) -> Column:
+        low, high = F.array_min(F.transform(block, lambda x: x["s"])), F.array_max(F.transform(block, lambda x: x["e"]))
+        near = let(F.struct(low.alias("s"), high.alias("e")), lambda r: F.filter(others, lambda y: (y["s"] < r["e"]) & (r["s"] < y["e"])))
+        return let(near, lambda near: F.filter(block, lambda x: keep(x, near)))
+
+    starts = F.sequence(F.lit(0), ((F.size(spans) - 1) / _BLOCK).cast("int"))
+    return F.flatten(F.transform(starts, lambda b: let(F.slice(spans, b * _BLOCK + 1, _BLOCK), block_kept)))
+
+
 def number_of(spans: str, k: int) -> Column:
     """How many (k, ...) structs in the column ``spans`` are of kind number ``k``."""
     return F.size(F.filter(spans, lambda x: x["k"] == k)).cast("long")

@@ -16,7 +16,8 @@ precision.
 
 Edge cases: null and empty texts have no spans; repeated rows each give a row;
 null ids are kept; an empty table gives no rows; other columns are not read.
-Patterns never rescan a run of characters, so long runs cost their length.
+Patterns never rescan a run of characters, so long runs cost their length;
+spans are compared with those near them alone.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import _boosting
-from ._spans import listed, masked, matches, number_of
+from ._spans import cut_from, filter_near, listed, masked, matches, number_of, pieces
 
 #: Base kinds in order: kind, pattern, sign that a text may have one.  The look-behind and
 #: possessive forms match what the plain patterns match, without trying a run from each place.
@@ -83,11 +84,10 @@ def _base(text: Column, k: int) -> Column:
     return F.when(there, named).otherwise(F.array().cast(FOUND)).cast(FOUND)
 
 
-def _features(text: Column, s: Column, e: Column, v: Column, k: int) -> list[Column]:
-    """Small integers that describe a candidate and what stands around it."""
-    near = F.substring(text, F.greatest(s - 29, F.lit(1)), F.least(s, F.lit(30)))
-    before, after = F.substring(text, s, F.when(s > 0, 1).otherwise(0)), F.substring(text, e + 1, F.lit(1))
-    n = F.length(_digits(v))
+def _features(v: Column, near: Column, after: Column, k: int) -> list[Column]:
+    """Small integers that describe a candidate and what stands around it: up to 30
+    characters before, one after."""
+    before, n = F.right(near, F.lit(1)), F.length(_digits(v))
     flag = lambda c: c.cast("int")
     return [
         F.lit(k),
@@ -106,16 +106,20 @@ def _features(text: Column, s: Column, e: Column, v: Column, k: int) -> list[Col
     ]
 
 
-def _candidates(text: Column, k: int) -> Column:
-    """array of (k, s, e, kind, features) of generator ``k``."""
+def _candidates(text: Column, parts: Column, k: int) -> Column:
+    """array of (k, s, e, kind, features) of generator ``k``; ``parts``: the text's ``pieces``."""
     kind, pattern, sign = MORE[k]
 
+    def placed(x: Column) -> Column:
+        near = cut_from(parts, F.greatest(x["s"] - 30, F.lit(0)), F.least(x["s"], F.lit(30)))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), near.alias("near"), cut_from(parts, x["e"], F.lit(1)).alias("after"))
+
     def full(x: Column) -> Column:
-        f = F.array(*_features(text, x["s"], x["e"], x["v"], k))
+        f = F.array(*_features(x["v"], x["near"], x["after"], k))
         return F.struct(F.lit(len(BASE) + k).alias("k"), x["s"].alias("s"), x["e"].alias("e"), F.lit(kind).alias("kind"), f.alias("f"))
 
     none = F.array().cast("array<struct<k:int,s:int,e:int,kind:string,f:array<int>>>")
-    return F.when(text.rlike(sign), F.transform(matches(text, pattern), full)).otherwise(none)
+    return F.when(text.rlike(sign), F.transform(F.transform(matches(text, pattern), placed), full)).otherwise(none)
 
 
 def examples(n: int = 1500, seed: int = 11) -> list[tuple[int, str, int, int]]:
@@ -159,8 +163,8 @@ def trained(n: int = 1500, seed: int = 11, precision: float = 0.98) -> tuple[lis
     """(trees, threshold of each generator); computed once in a driver process."""
     spark = SparkSession.getActiveSession()
     frame = spark.createDataFrame(examples(n, seed), "i int, text string, at int, label int")
-    every = F.concat(*(_candidates(F.col("text"), k) for k in range(len(MORE))))
-    rows = frame.select("i", "at", "label", F.explode(every).alias("c")).select("i", "at", "label", "c.s", "c.e", "c.k", "c.f").collect()
+    every = F.concat(*(_candidates(F.col("text"), F.col("parts"), k) for k in range(len(MORE))))
+    rows = frame.withColumn("parts", pieces(F.col("text"))).select("i", "at", "label", F.explode(every).alias("c")).select("i", "at", "label", "c.s", "c.e", "c.k", "c.f").collect()
     learn: dict[tuple[int, ...], list[int]] = {}
     held = []
     for r in rows:
@@ -192,23 +196,24 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mo
     if not more:
         return rows.select(id_col, "base", F.col("base").alias("found"))
     trees, limits = trained()
-    rows = rows.withColumn("_c", F.concat(*(_candidates(F.col("_t"), k) for k in range(len(MORE)))))
+    rows = rows.withColumn("_parts", pieces(F.col("_t")))
+    rows = rows.withColumn("_c", F.concat(*(_candidates(F.col("_t"), F.col("_parts"), k) for k in range(len(MORE)))))
 
     def scored(x: Column) -> Column:
         z = _boosting.as_column(trees, [F.get(x["f"], F.lit(i)) for i in range(13)])
         return F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"), z.alias("z"))
 
-    def passes(x: Column) -> Column:
+    def passes(x: Column, near: Column) -> Column:
         limit = F.lit(float("inf"))
         for k, z in limits.items():
             limit = F.when(x["k"] == len(BASE) + k, F.lit(z)).otherwise(limit)
-        return (x["z"] >= limit) & ~F.exists("base", lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
+        return (x["z"] >= limit) & ~F.exists(near, lambda b: (b["s"] < x["e"]) & (x["s"] < b["e"]))
 
     rows = rows.withColumn("_c", F.when(F.size("_c") > 0, F.transform("_c", scored)))
-    rows = rows.withColumn("_c", F.filter("_c", passes))
+    rows = rows.withColumn("_c", filter_near(F.col("_c"), F.col("base"), passes))
     order = lambda x: F.struct(x["z"], -x["s"], -x["e"], -x["k"])
-    best = lambda x: ~F.exists("_c", lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & (order(y) > order(x)))
-    plain = F.transform(F.filter("_c", best), lambda x: F.struct(x["k"], x["s"], x["e"], x["kind"])).cast(FOUND)
+    best = lambda x, near: ~F.exists(near, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]) & (order(y) > order(x)))
+    plain = F.transform(filter_near(F.col("_c"), F.col("_c"), best), lambda x: F.struct(x["k"], x["s"], x["e"], x["kind"])).cast(FOUND)
     return rows.select(id_col, "base", F.array_sort(F.concat("base", F.coalesce(plain, F.array().cast(FOUND)))).alias("found"))
 
 

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from tamarack.llm import _boosting, pii, quality_rules, secrets, simhash, token_counts
 from tamarack.llm._components import components
 from tamarack.llm._ledger import read_ledger
-from tamarack.llm._spans import matches
+from tamarack.llm._spans import filter_near, matches
 from tamarack.llm._tokenizer import Encoder
 from tamarack.llm.packing import hilbert_key
 from tamarack.llm.queries import TOKENIZER
@@ -153,6 +153,29 @@ def test_matches_of_many_and_of_none(spark):
     assert got[1:] == [[], [], [(0, 1, "1")]]
 
 
+def test_pii_of_a_text_with_very_many_candidates(spark):
+    # Context and overlaps are looked up locally: compared one by one, this would take hours.
+    rng = random.Random(3)
+    one = lambda: "call " + "-".join("".join(rng.choice("0123456789") for _ in range(k)) for k in (3, 3, 4))
+    lone = one()
+    text = " and ".join(one() for _ in range(15_000))
+    docs = spark.createDataFrame([(1, text), (2, "and " + lone + " and")], "doc_id long, text string")
+    got = {r.doc_id: [(x.s, x.e) for x in r.found] for r in pii.find_pii(docs).collect()}
+    assert got[2] == [(9, 21)]
+    assert got[1] == [(5 + 22 * k, 17 + 22 * k) for k in range(15_000)]
+
+
+@pytest.mark.parametrize("n", [0, 1, 128, 129, 700])
+def test_filter_near_sees_all_that_overlap(spark, n):
+    rng = random.Random(n)
+    make = lambda m: sorted((a, a + rng.randint(1, 40)) for a in (rng.randrange(6000) for _ in range(m)))
+    xs, ys = make(n), make(400)
+    df = spark.createDataFrame([(xs, ys)], "x array<struct<s:int,e:int>>, y array<struct<s:int,e:int>>")
+    overlap = lambda x, near: F.exists(near, lambda y: (y["s"] < x["e"]) & (x["s"] < y["e"]))
+    got = [tuple(r) for r in df.select(filter_near(F.col("x"), F.col("y"), overlap)).first()[0]]
+    assert got == [x for x in xs if any(a < x[1] and x[0] < b for a, b in ys)]
+
+
 def test_pii_beyond_the_base(spark):
     pii.trained()
     text = "please call (415) 555-1234 today. SSN 123-45-6789 here. reach jo.doe (at) mail (dot) com soon. on 12/03/1999 order 1234567 was sent. account DE89 3704 0044 0532 0130 ok"
