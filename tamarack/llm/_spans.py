@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 SPAN = "array<struct<s:int,e:int,v:string>>"
 _BLOCK = 128
 _PIECE = 512
+_WIDE = 8192
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -53,9 +54,9 @@ def matches(text: Column, pattern: str) -> Column:
     return let(parts, placed)
 
 
-def pieces(text: Column) -> Column:
-    """``text`` in parts of ``_PIECE`` characters, for ``cut_from``."""
-    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{_PIECE}}}"), F.lit(0))
+def pieces(text: Column, size: int = _PIECE) -> Column:
+    """``text`` in parts of ``size`` characters; those of ``_PIECE`` serve ``cut_from``."""
+    return F.regexp_extract_all(text, F.lit(f"(?s).{{1,{size}}}"), F.lit(0))
 
 
 def cut_from(parts: Column, start: Column, n: Column) -> Column:
@@ -90,12 +91,19 @@ def listed(spans: Column) -> Column:
 
 
 def masked(text: Column, found: Column, mark: str) -> Column:
-    """``text`` with every span of ``found`` (sorted by s; touching ones as one) replaced by ``mark``."""
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """``text`` with every span of ``found`` (sorted by s; touching ones as one) replaced by
+    ``mark``.  Long texts are masked piece by piece; a span's mark stands where it starts."""
 
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
-        new = (x["s"] > a["at"]) | (a["out"] == "")
-        return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], gap, F.when(new, mark).otherwise("")).alias("out"))
+    def piece(part: Column, i: Column) -> Column:
+        low = i * _WIDE
+        near = F.filter(found, lambda x: (x["s"] < low + _WIDE) & (x["e"] >= low))
+        start = F.struct(low.alias("at"), F.lit("").alias("out"), F.lit(False).alias("open"))
 
-    return F.aggregate(found, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
+        def step(a: Column, x: Column) -> Column:
+            gap = F.substring(part, a["at"] - low + 1, F.greatest(x["s"] - a["at"], F.lit(0)))
+            new = (x["s"] > a["at"]) | (~a["open"] & (x["s"] >= low))
+            return F.struct(F.greatest(a["at"], x["e"]).alias("at"), F.concat(a["out"], gap, F.when(new, mark).otherwise("")).alias("out"), F.lit(True).alias("open"))
+
+        return F.aggregate(near, start, step, lambda a: F.concat(a["out"], F.substring(part, a["at"] - low + 1, F.lit(_WIDE))))
+
+    return F.array_join(F.transform(pieces(text, _WIDE), piece), "")

@@ -10,7 +10,7 @@ from tokenizers import Tokenizer
 from tamarack.llm import _boosting, pii, quality_rules, secrets, simhash, token_counts
 from tamarack.llm._components import components
 from tamarack.llm._ledger import read_ledger
-from tamarack.llm._spans import filter_near, matches
+from tamarack.llm._spans import filter_near, masked, matches
 from tamarack.llm._tokenizer import Encoder
 from tamarack.llm.packing import hilbert_key
 from tamarack.llm.queries import TOKENIZER
@@ -143,6 +143,26 @@ def test_masking(spark):
     assert got == {1: ("a [SECRET] [SECRET] z", 21), 2: ("clean", 77), 3: (None, None)}
 
 
+def test_masks_across_the_pieces_of_a_long_text(spark):
+    rng = random.Random(8)
+    text = "".join(rng.choice("ab\U0001f600\n") for _ in range(30_000))
+    starts = [*range(0, 30_000, 61), 8190, 8192, 16384 - 5, 16384]
+    some = [(a, min(len(text), a + rng.randint(1, 60))) for a in starts] + [(16380, 16384), (20000, 29000), (29000, 29010)]
+    cases = [(text, sorted(some)), (text, [(8192, 8200)]), (text, [(0, 30_000)]), (text, [(8000, 8192), (8192, 9000)]), (text[:8192], [(8190, 8192)]), (text, []), ("", []), (None, [])]
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(cases)], "i int, t string, f array<struct<s:int,e:int>>")
+
+    def brute(text, spans):
+        out, at, last = "", 0, None
+        for s, e in spans:
+            if last is None or s > last:
+                out, at = out + text[at:s] + "[M]", e
+            last = at = max(at, e)
+        return out + text[at:] if text is not None else None
+
+    got = {r.i: r.m for r in df.select("i", masked(F.col("t"), F.col("f"), "[M]").alias("m")).collect()}
+    assert got == {i: brute(*c) for i, c in enumerate(cases)}
+
+
 def test_matches_of_many_and_of_none(spark):
     text = "ab1" * 700 + "\U0001f600" + "c22"
     df = spark.createDataFrame([(text,), ("",), ("none",), ("1",)], "t string")
