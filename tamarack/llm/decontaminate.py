@@ -102,7 +102,8 @@ def find_hits(
         hit = F.col("there").isNotNull()
         met = met.where(hit | first).select("uid", "n", F.when(first, F.col("row")).alias("row"), F.when(hit, F.struct(start.alias("s"), F.col("len").alias("n"))).alias("span"), "window")
         passes = met if passes is None else passes.union(met)
-    hits = passes.groupBy("uid").agg(F.max("n").alias("_n_words"), F.first("row", ignorenulls=True).alias("row"), F.collect_set("span").alias("_spans"), F.collect_set("window").alias("wins"))
+    # The one row that is set, by collect_list: first() would copy it at each of the document's hits.
+    hits = passes.groupBy("uid").agg(F.max("n").alias("_n_words"), F.get(F.collect_list("row"), F.lit(0)).alias("row"), F.collect_set("span").alias("_spans"), F.collect_set("window").alias("wins"))
     hits = written(hits.withColumn("_spans", F.array_sort("_spans")), "bench-hits", "zstd")
 
     named = hits.select("uid", F.explode("wins").alias("window")).join(window_items, "window")
