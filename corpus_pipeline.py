@@ -21,8 +21,9 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """SimHash: of documents linked by fingerprints the one with the smallest id stays."""
-    return simhash.keep_one(docs)
+    """Near copies: of documents linked by fingerprints (two bits) or by five-word
+    shingles (Jaccard similarity of 0.8) the one with the smallest id stays."""
+    return simhash.keep_one(docs, least=0.8)
 
 
 def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import near_copies
 from ._common import written
 from ._components import components
 
@@ -47,16 +48,19 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * set_in > total, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fp): fp is the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = 3, id_col: str = "doc_id", text_col: str = "text", sketched: bool = False) -> DataFrame:
+    """(id, fp): fp is the fingerprint as a signed long; sketched: and h, key and bands of ``near_copies``."""
+    kinds = ", h long, key long, bands array<long>" if sketched else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             fp = np.array([fingerprint(t, shingle) for t in b.column("_text").to_pylist()], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(fp.view(np.int64))], ["_id", "fp"])
+            more = near_copies.sketch(b) if sketched else {}
+            yield pa.RecordBatch.from_arrays([b.column("_id"), pa.array(fp.view(np.int64)), *more.values()], ["_id", "fp", *more])
 
-    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
-    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long")
+    h = [F.xxhash64(text_col).alias("h")] if sketched else []
+    rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), *h)
+    return rows.mapInArrow(run, f"_id {rows.schema['_id'].dataType.simpleString()}, fp long{kinds}")
 
 
 def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
@@ -76,11 +80,22 @@ def ball_links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     return met.where(F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius).distinct()
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, fingerprint as 16 hex digits, component_id) for every row."""
-    rows = written(fingerprints(docs, shingle, id_col, text_col), "simhash-rows")
+def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 2, id_col: str = "doc_id", text_col: str = "text", least: float | None = None) -> DataFrame:
+    """(id, fingerprint as 16 hex digits, component_id) for every row.
+
+    With ``least``, texts whose five-word shingles have at least this Jaccard
+    similarity are linked, too (see ``near_copies``)."""
+    made = fingerprints(docs, shingle, id_col, text_col, least is not None)
+    rows = written(made, "simhash-rows")
     classes = written(rows.groupBy("fp").agg(F.min("_id").alias("low")), "simhash-classes")
-    found = components(written(ball_links(classes.select("fp"), radius), "simhash-links"))
+    links = ball_links(classes.select("fp"), radius)
+    if least is not None:
+        named = written(rows.where("key is not null").groupBy("key").agg(F.min("fp").alias("first")), "simhash-keys")
+        same = rows.select("fp", "key").distinct().join(named, "key").where("fp != first").select(F.col("first").alias("u"), F.col("fp").alias("v"))
+        near = near_copies.links(docs, rows, least, text_col=text_col)
+        near = near.join(named.select(F.col("key").alias("u"), F.col("first").alias("a")), "u").join(named.select(F.col("key").alias("v"), F.col("first").alias("b")), "v")
+        links = links.union(same).union(near.where("a != b").select("a", "b"))
+    found = components(written(links, "simhash-links"))
 
     joined = classes.join(found, F.col("fp") == F.col("node"), "left").select("fp", "low", F.coalesce("component", "fp").alias("component"))
     joined = written(joined, "simhash-joined")
