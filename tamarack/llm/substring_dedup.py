@@ -1,8 +1,10 @@
 """Substring dedup over sliding sentence spans (operator 3).
 
 A text is cut into sentences (ends: ``. ! ?`` before white space, and line
-breaks); a sentence of more than ``long_words`` words counts as several, cut
-every ``long_words`` words, so a passage with few full stops has several, too.
+breaks); a sentence of more than ``long_words`` words counts as several, so a
+passage with few full stops has several, too.  It is cut after words whose hash
+is the least of those near them, so a passage is cut alike wherever it stands, and
+``long_words`` words after a cut if no such word comes before.
 From each sentence starts one span, and at each ends one: the shortest run of at
 least ``run`` sentences with at least ``min_words`` words.  (With the first kind
 alone, a short last sentence of a repeated passage would be in no span.)  Its digest (128 bits of the
@@ -23,8 +25,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -33,6 +37,23 @@ from ._common import written
 
 _ENDS = re.compile(r"\n+|(?<=[.!?])[^\S\n]+")
 _WORD = re.compile(r"\S+")
+#: Words on each side that a cut inside a long sentence depends on (one more before).
+_NEAR = 4
+
+
+def _cuts(words: list[str], long_words: int) -> list[int]:
+    """Where the pieces of a long sentence start, and the number of its words."""
+    n = len(words)
+    low = [w.lower().encode() for w in words]
+    h = np.array([zlib.crc32(b" ".join(p)) for p in zip([b"", *low], low)], dtype=np.int64)
+    least = np.zeros(n, dtype=bool)
+    mid = h[_NEAR : n - _NEAR]
+    least[_NEAR : n - _NEAR] = np.all([mid < h[_NEAR + k : n - _NEAR + k] for k in range(-_NEAR, _NEAR + 1) if k], axis=0)
+    found = [0]
+    for stop in [*(np.flatnonzero(least) + 1).tolist(), n]:
+        found += range(found[-1] + long_words, stop, long_words)
+        found.append(stop)
+    return found
 
 
 def sentences(text: str | None, long_words: int) -> list[tuple[int, int]]:
@@ -49,7 +70,11 @@ def sentences(text: str | None, long_words: int) -> list[tuple[int, int]]:
                 found.append((lead, lead + len(body)))
         else:
             words = [m.span() for m in _WORD.finditer(text, at, stop)]
-            found += [(words[k][0], words[min(k + long_words, len(words)) - 1][1]) for k in range(0, len(words), long_words)]
+            if len(words) > long_words:
+                at_word = _cuts([text[a:b] for a, b in words], long_words)
+            else:
+                at_word = [0, len(words)] if words else []
+            found += [(words[a][0], words[b - 1][1]) for a, b in zip(at_word, at_word[1:])]
         at = after
     return found
 

@@ -60,3 +60,20 @@ def test_repeats_inside_one_text(spark):
     p, q = (" ".join(sentence(rng, 10) for _ in range(4)) for _ in range(2))
     got = remove_repeats(spark.createDataFrame([(1, f"{p}\n{q}\n{p}")], "doc_id long, text string")).first()
     assert got.text == f"{p}\n{q}" and got.n_removed == 4
+
+
+def test_passage_at_any_offset_of_an_unpunctuated_text_goes(spark):
+    rng = random.Random(11)
+    words = lambda n: sentence(rng, n)[:-1].lower().split()
+    rows, passages = [], []
+    for k in range(40):
+        p = words(60 + rng.randint(0, 30))
+        passages.append(p)
+        for j in range(2):
+            rows.append((2 * k + j, " ".join(words(rng.randint(0, 150)) + p + words(rng.randint(0, 150)))))
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, p in enumerate(passages):
+        assert got[2 * k].text == rows[2 * k][1]
+        kept = f" {got[2 * k + 1].text} "
+        assert not any(f" {' '.join(p[i : i + 51])} " in kept for i in range(len(p) - 50))
+        assert got[2 * k + 1].n_removed > 1
