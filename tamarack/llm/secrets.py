@@ -30,9 +30,17 @@ BASE_RULES = [
     ("access", r"AKIA[A-Z0-9]{14,}", "AKIA", ""),
     ("hex", r"[0-9a-f]{16,}", r"[0-9a-f]{16}", ""),
 ]
+#: A private key with its body: up to the END line, or else over lines of base64
+#: (the last may be shorter) after headers such as Proc-Type.
+_EDGE = "[A-Z ]{0,24}PRIVATE KEY-----"
+_BREAK = r"(?:\s|\\[nr])"
+PRIVATE_KEY = (
+    rf"-----BEGIN {_EDGE}(?:[^-]*+(?:-(?!----)[^-]*+){{0,64}}+-----END {_EDGE}"
+    rf"|(?:\s++[A-Za-z][A-Za-z-]{{1,30}}:\x20[^\n]{{1,200}}(?=\n)){{0,8}}(?:{_BREAK}++[A-Za-z0-9+/]{{16,}}+={{0,2}}+){{1,1000}}+(?:{_BREAK}++[A-Za-z0-9+/]{{1,15}}+={{0,2}}+(?=\s*(?:\n|$)))?+)?+"
+)
 #: Further formats that carry their own marks.
 MORE_RULES = [
-    ("private_key", r"-----BEGIN [A-Z ]{0,24}PRIVATE KEY-----", "-----BEGIN", ""),
+    ("private_key", PRIVATE_KEY, "-----BEGIN", ""),
     ("forge_token", r"\bgh[pousr]_[A-Za-z0-9]{36,}", "gh[pousr]_", ""),
     ("chat_token", r"\bxox[abprs]-[A-Za-z0-9-]{10,}", "xox[abprs]-", ""),
     ("cloud_key", r"\bAIza[0-9A-Za-z_-]{35}", "AIza", ""),
