@@ -54,7 +54,9 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     users = e.groupBy("user_id").agg((F.sum(cents) / F.count("*") / 100.0).alias("user_avg"))
     kinds = e.groupBy("event_type").agg((F.sum(cents) / F.count("*") / 100.0).alias("kind_avg"))
     e = e.withColumn("n_day", F.count("*").over(by_user.orderBy("sec").rangeBetween(-DAY, 0)).cast("int")).withColumn("last_sec", F.lag("sec").over(in_order))
-    e = e.join(users, "user_id").join(F.broadcast(kinds), "event_type")
+    # Null-safe: events without a user or a type are a group of their own, as in the windows.
+    users, kinds = users.withColumnRenamed("user_id", "_user"), kinds.withColumnRenamed("event_type", "_kind")
+    e = e.join(users, F.col("user_id").eqNullSafe(F.col("_user"))).join(F.broadcast(kinds), F.col("event_type").eqNullSafe(F.col("_kind")))
     iso = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     mcc = F.create_map(*(F.lit(x) for kv in MCC.items() for x in kv))
     last = F.struct(iso(F.col("last_sec")).alias("timestamp"), (F.col("k") * 11.5).alias("km_from_current"))
