@@ -12,18 +12,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def sample_by_class(rows: DataFrame, id_col: str, class_col: str, per_class: int, max_classes: int = 64, seed: int = 7) -> DataFrame:
+def sample_by_class(rows: DataFrame, id_col: str, class_col: str, per_class: int, max_rows: int | None = None, seed: int = 7) -> DataFrame:
     """About ``per_class`` rows of each class (null: none); all rows of smaller classes.
 
-    More than ``max_classes`` classes raise: labels are no free text.
+    With more than ``max_rows / per_class`` classes each has a smaller share, so that
+    about ``max_rows`` (64 times ``per_class`` if unset) are taken, however many there are.
     """
-    counts = rows.where(F.col(class_col).isNotNull()).groupBy(class_col).count().limit(max_classes + 1).collect()
-    if len(counts) > max_classes:
-        raise ValueError(f"{class_col} has more than {max_classes} values")
+    counts = rows.where(F.col(class_col).isNotNull()).groupBy(F.col(class_col).alias("_class")).agg(F.count("*").alias("_n"))
+    most = min(per_class, (max_rows or 64 * per_class) / max(1, counts.count()))
     # xxhash64 is even over the longs: compare its top 31 bits to a share of 2**31.
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string")), 33)
-    chosen = F.lit(False)
-    for row in counts:
-        share = min(1.0, per_class / row["count"])
-        chosen = chosen | ((F.col(class_col) == row[class_col]) & (draw < int(share * 2**31)))
-    return rows.where(chosen)
+    met = rows.join(counts, F.col(class_col) == F.col("_class"))
+    return met.where(draw < (F.least(F.lit(1.0), F.lit(float(most)) / F.col("_n")) * 2**31).cast("long")).select(*rows.columns)
