@@ -156,3 +156,16 @@ def test_scores(spark):
     assert evaluate.confusion(rows, error="bad").first()[:] == (5, 1, 1, 1, 1, 1)
     empty = evaluate.detection_score(evaluate.confusion(rows.limit(0))).first()
     assert empty.n == 0
+
+
+def test_recall_against_brute_force(spark):
+    """12 of the registered index's 16 lists reach 0.9; the lists that the SQL states find less."""
+    from tamarack.plans.oracles import FULL, K, ROUNDS
+
+    every = references(spark, "/root/testdata/sf0.1")
+    made, q = IvfIndex.build(every, K, ROUNDS), query_set(every)
+    exact = exact_knn(q, every, integer=False).cache()
+    mean = lambda n: evaluate.recall(ivf.ivf_search(q, made, n, skip_self=True), exact, 5).agg(F.avg("recall")).first()[0]
+    found = mean(12), mean(FULL)
+    print("recall", found)
+    assert found[0] >= 0.9 and found[1] >= 0.55
