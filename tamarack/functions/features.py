@@ -39,21 +39,29 @@ def amount_vs_average(amount: Column, average: Column) -> Column:
     return F.coalesce(clamp01(ratio * inverse(LIMITS["amount_vs_avg"])), F.lit(0.0).cast("float"))
 
 
-def instant(text: Column) -> Column:
-    return F.try_to_timestamp(text)
+def wall_clock(text: Column) -> Column:
+    """The time as the text's own digits say it: no time zone, neither the text's
+    nor the session's, has a part in it.  Null if the text is no time."""
+    return text.try_cast("timestamp_ntz")
+
+
+def seconds_of(clock: Column) -> Column:
+    """Seconds from 1970 to a ``timestamp_ntz``, whatever the session's time zone."""
+    day = F.datediff(F.to_date(clock), F.lit("1970-01-01").cast("date")).cast("long")
+    return day * 86400 + F.hour(clock) * 3600 + F.minute(clock) * 60 + F.second(clock)
 
 
 def hour_of_day(text: Column) -> Column:
-    return F.coalesce(f32(F.hour(instant(text))) * inverse(23), F.lit(0.0).cast("float"))
+    return F.coalesce(f32(F.hour(wall_clock(text))) * inverse(23), F.lit(0.0).cast("float"))
 
 
 def day_of_week(text: Column) -> Column:
     """Monday 0 to Sunday 1."""
-    return F.coalesce(f32(F.weekday(instant(text))) * inverse(6), F.lit(0.0).cast("float"))
+    return F.coalesce(f32(F.weekday(wall_clock(text))) * inverse(6), F.lit(0.0).cast("float"))
 
 
 def minutes_since(now: Column, last: Column) -> Column:
-    seconds = F.unix_timestamp(instant(now)) - F.unix_timestamp(instant(last))
+    seconds = seconds_of(wall_clock(now)) - seconds_of(wall_clock(last))
     return clamp01(f32(f32(seconds) / F.lit(60.0).cast("float")) * inverse(LIMITS["minutes"]))
 
 
@@ -95,6 +103,7 @@ def feature_columns(limits: dict[str, float] = LIMITS, risk: dict[str, float] =
     ]
 
 
-def vectorize(payloads: DataFrame, out: str = "vector") -> DataFrame:
-    """``payloads`` with the feature vector as array<float>."""
-    return payloads.withColumn(out, F.array(*feature_columns()))
+def vectorize(payloads: DataFrame, out: str = "vector", limits: dict[str, float] = LIMITS, risk: dict[str, float] = RISK) -> DataFrame:
+    """``payloads`` with the feature vector as array<float>; ``limits`` and ``risk``
+    may come from files (``read_lookup``)."""
+    return payloads.withColumn(out, F.array(*feature_columns(limits, risk)))

@@ -1,9 +1,14 @@
 """Approximate search over an inverted-file index, plain and adaptive.
 
-For each block of queries the nearest ``nprobe`` centroids are found in NumPy on
-the block (bounded by block and k); lists of other clusters are filtered out
-before they are read, by partition where the index is stored.  Tasks keep the
-best of each batch, so the shuffle carries few rows whatever the lists' sizes.
+``probe`` gives each query the numbers of its nearest clusters; probes and lists
+meet by cluster.  A long list is cut into slices of ``rows`` vectors and the
+queries of a cluster into blocks of ``block``; every pair of slice and block is a
+group of its own, so neither a hot list nor a hot cluster grows a task.  A group
+keeps the k best of each query, so the last shuffle carries k rows a query and
+probed slice.  Lists are read once, those that no query probes not at all (by
+partition where the index is stored).  The driver sees one count a cluster.
+
+Every query is answered: one whose probed lists are empty has a count of 0.
 """
 
 from __future__ import annotations
@@ -18,11 +23,13 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import TOP_K, approved
 from .index import IvfIndex, quantize_matrix
-from .kernels import best, distances, matrix
-from .search import BLOCK, _union, blocks
+from .kernels import CELLS, distances, matrix, nearest
+from .search import answered, vote
 
 FAST_NPROBE, NPROBE, BAND = 5, 70, (2, 3)
+BLOCK, SLICE = 16_384, 65_536
 _FOUND = "qid long, ref_id long, label int, d long, crank int"
+_FOUND_ARROW = pa.schema([("qid", pa.int64()), ("ref_id", pa.int64()), ("label", pa.int32()), ("d", pa.int64()), ("crank", pa.int32())])
 
 
 def check_nprobe(nprobe: int, k: int) -> int:
@@ -34,75 +41,61 @@ def check_nprobe(nprobe: int, k: int) -> int:
 
 def _ranks(q: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
     """Numbers of the n nearest centroids of each row, nearest first, ties by number."""
-    d = distances(q.astype(np.float64), centroids.astype(np.float64), True)
-    number = np.arange(len(centroids))
-    return np.stack([np.lexsort((number, row))[:n] for row in d]) if len(q) else np.zeros((0, n), np.int64)
+    out, step = [np.zeros((0, n), np.int64)], max(1, CELLS // len(centroids))
+    for at in range(0, len(q), step):
+        d = distances(q[at : at + step].astype(np.float64), centroids.astype(np.float64), True)
+        out.append(np.argsort(d, axis=1, kind="stable")[:, :n])
+    return np.concatenate(out)
 
 
-def probe(queries: DataFrame, index: IvfIndex, nprobe: int) -> DataFrame:
-    """(qid, crank, cid): the clusters to look into, crank 1 the nearest."""
-    n, centroids, scale = check_nprobe(nprobe, index.k), index.centroids, index.scale
+def probe(queries: DataFrame, index: IvfIndex, nprobe: int, with_vector: bool = False) -> DataFrame:
+    """(qid, crank, cid): the clusters to look into, crank 1 the nearest; and
+    ``with_vector`` v, the quantised query.  A query of another length than the
+    index's vectors is an error."""
+    n, centroids, scale, dim = check_nprobe(nprobe, index.k), index.centroids, index.scale, index.dim
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                cid = _ranks(quantize_matrix(matrix(b.column("v")), scale), centroids, n)
-                qid = np.repeat(b.column("qid").to_numpy(), n)
-                yield pa.RecordBatch.from_arrays([pa.array(qid), pa.array(np.tile(np.arange(1, n + 1, dtype=np.int32), b.num_rows)), pa.array(cid.reshape(-1).astype(np.int32))], ["qid", "crank", "cid"])
-
-    return queries.select("qid", "v").mapInArrow(run, "qid long, crank int, cid int")
-
-
-def candidates(queries: DataFrame, index: IvfIndex, nprobe: int, k: int = TOP_K, cuts: tuple[int, ...] = (), skip_self: bool = False, block: int = BLOCK) -> DataFrame:
-    """(qid, ref_id, label, d, crank): rows that hold the k best of each query, for
-    ``nprobe`` and for each smaller probe count in ``cuts``."""
-    n = check_nprobe(nprobe, index.k)
-    limits = sorted({*(min(c, n) for c in cuts), n})
-
-    def search(rows: list) -> DataFrame:
-        ids = np.array([r.qid for r in rows], dtype=np.int64)
-        q = quantize_matrix(np.array([r.v for r in rows], dtype=np.float64).reshape(len(rows), -1), index.scale)
-        probed = _ranks(q, index.centroids, n)
-        wanted = {int(c) for c in probed.reshape(-1)}
-        near: dict[int, list[tuple[int, int]]] = {}
-        for j, row in enumerate(probed):
-            for rank, c in enumerate(row):
-                near.setdefault(int(c), []).append((j, rank + 1))
-        qf = q.astype(np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                found: dict[int, list[np.ndarray]] = {}
-                cid, ref = b.column("cid").to_numpy(), b.column("ref_id").to_numpy()
-                label, v = b.column("label").to_numpy(zero_copy_only=False), matrix(b.column("v"))
-                for c in np.unique(cid):
-                    at = np.flatnonzero(cid == c)
-                    who = near.get(int(c), [])
-                    if who:
-                        d = distances(v[at], qf[[j for j, _ in who]], True)
-                        for col, (j, rank) in enumerate(who):
-                            own = np.flatnonzero(ref[at] != ids[j]) if skip_self else np.arange(len(at))
-                            if len(own):
-                                top = own[best([d[own, col], ref[at][own]], k)]
-                                found.setdefault(j, []).append(np.stack([ref[at][top], label[at][top], d[top, col].astype(np.int64), np.full(len(top), rank)]))
-                out = []
-                for j, parts in found.items():
-                    x = np.concatenate(parts, axis=1)
-                    keep = set()
-                    for limit in limits:
-                        inside = np.flatnonzero(x[3] <= limit)
-                        if len(inside):
-                            keep.update(inside[best([x[2][inside], x[3][inside], x[0][inside]], k)])
-                    x = x[:, sorted(keep)]
-                    out.append(np.vstack([np.full(x.shape[1], ids[j]), x]))
-                if out:
-                    y = np.concatenate(out, axis=1).astype(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(y[0]), pa.array(y[1]), pa.array(y[2].astype(np.int32)), pa.array(y[3]), pa.array(y[4].astype(np.int32))], ["qid", "ref_id", "label", "d", "crank"])
-
-        lists = index.lists.where(F.col("cid").isin(sorted(wanted))) if len(wanted) < index.k else index.lists
-        return lists.select("ref_id", F.col("label").cast("int").alias("label"), "v", "cid").mapInArrow(run, _FOUND)
-
-    return _union([search(q.select("qid", "v").collect()) for q in blocks(queries, "qid", block)])
+            if not b.num_rows:
+                continue
+            x = matrix(b.column("v"))
+            if x.shape[1] != dim:
+                raise ValueError(f"queries of {x.shape[1]} values; the index has {dim}")
+            q = quantize_matrix(x, scale)
+            qid, rank = np.repeat(b.column("qid").to_numpy(), n), np.tile(np.arange(1, n + 1, dtype=np.int32), b.num_rows)
+            columns = {"qid": pa.array(qid), "crank": pa.array(rank), "cid": pa.array(_ranks(q, centroids, n).reshape(-1).astype(np.int32))}
+            if with_vector:
+                columns["v"] = pa.ListArray.from_arrays(pa.array(np.arange(0, len(qid) * dim + 1, dim, dtype=np.int32)), pa.array(np.repeat(q, n, axis=0).reshape(-1).astype(np.int16)))
+            yield pa.RecordBatch.from_pydict(columns)
+
+    return queries.select("qid", "v").mapInArrow(run, "qid long, crank int, cid int" + ", v array<smallint>" * with_vector)
+
+
+def candidates(queries: DataFrame, index: IvfIndex, nprobe: int, k: int = TOP_K, skip_self: bool = False, block: int = BLOCK, rows: int = SLICE) -> DataFrame:
+    """(qid, ref_id, label, d, crank): the k best of each query in each slice of a
+    probed list, so the k best for ``nprobe`` and for any smaller probe count are
+    among them (``crank`` is the list's place among the query's probes)."""
+    spark = queries.sparkSession
+    probed = probe(queries, index, check_nprobe(nprobe, index.k))
+    asked = {r.cid: r.n for r in probed.groupBy("cid").agg(F.count("*").alias("n")).collect()}  # one a cluster
+    size = index.list_sizes()
+    plan = [(c, max(1, -(-int(size[c]) // rows)), max(1, -(-n // block))) for c, n in sorted(asked.items()) if size[c]]
+    layout = F.broadcast(spark.createDataFrame(plan, "cid int, slices int, blocks int"))  # one row a cluster
+    lists = index.lists if len(plan) == index.k else index.lists.where(F.col("cid").isin([c for c, *_ in plan]))
+    upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    lists = lists.join(layout, "cid").select("cid", F.pmod(F.xxhash64("ref_id"), "slices").cast("int").alias("s"), upto("blocks").alias("b"), "ref_id", F.coalesce(F.col("label").cast("int"), F.lit(0)).alias("label"), "v")
+    probes = probe(queries, index, check_nprobe(nprobe, index.k), True).join(layout, "cid")
+    probes = probes.select("cid", upto("slices").alias("s"), F.pmod(F.xxhash64("qid"), "blocks").cast("int").alias("b"), "qid", "crank", "v")
+
+    def meet(some: pa.Table, who: pa.Table) -> pa.Table:
+        if not some.num_rows or not who.num_rows:
+            return _FOUND_ARROW.empty_table()
+        ref, label, qid, rank = (t.column(c).to_numpy() for t, c in ((some, "ref_id"), (some, "label"), (who, "qid"), (who, "crank")))
+        j, i, d = nearest(matrix(some.column("v")), ref, matrix(who.column("v")), qid, k, True, skip_self)
+        return pa.table([qid[j], ref[i], label[i], d.astype(np.int64), rank[j]], schema=_FOUND_ARROW)
+
+    by = ["cid", "s", "b"]
+    return lists.groupBy(by).cogroup(probes.groupBy(by)).applyInArrow(meet, _FOUND)
 
 
 def _top(found: DataFrame, k: int) -> DataFrame:
@@ -116,9 +109,8 @@ def ivf_search(queries: DataFrame, index: IvfIndex, nprobe: int = 1, k: int = TO
 
 
 def knn_score(queries: DataFrame, index: IvfIndex, nprobe: int = 1, k: int = TOP_K, **options) -> DataFrame:
-    from .search import vote
-
-    return vote(ivf_search(queries, index, nprobe, k, **options), k)
+    """A vote for each query, from its ``nprobe`` nearest lists."""
+    return vote(ivf_search(queries, index, nprobe, k, **options), k, queries)
 
 
 def adaptive_vote(queries: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE, band: tuple[int, ...] = BAND, k: int = TOP_K, **options) -> DataFrame:
@@ -127,7 +119,7 @@ def adaptive_vote(queries: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE,
     fast, full = check_nprobe(fast, index.k), check_nprobe(full, index.k)
     if fast >= full:
         band, fast = (), full
-    found = candidates(queries, index, full, k, cuts=(fast,), **options)
+    found = candidates(queries, index, full, k, **options)
     w = Window.partitionBy("qid").orderBy("d", "crank", "ref_id")
     in_fast = F.col("crank") <= fast
     ranked = found.withColumn("full_rn", F.row_number().over(w)).withColumn("fast_rn", F.when(in_fast, F.sum(in_fast.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))))
@@ -135,14 +127,17 @@ def adaptive_vote(queries: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE,
         F.coalesce(F.sum(F.when(F.col("fast_rn") <= k, F.col("label"))), F.lit(0)).cast("int").alias("fast_count"),
         F.coalesce(F.sum(F.when(F.col("full_rn") <= k, F.col("label"))), F.lit(0)).cast("int").alias("full_count"),
     )
+    counted = answered(counted, queries, ["fast_count", "full_count"])
     counted = counted.withColumn("n_fraud", F.when(F.col("fast_count").isin(*band), F.col("full_count")).otherwise(F.col("fast_count")) if band else F.col("fast_count"))
     return counted.withColumn("approved", approved(F.col("n_fraud")))
 
 
 def sweep(queries: DataFrame, index: IvfIndex, nprobes: list[int], k: int = TOP_K, **options) -> DataFrame:
     """(nprobe, qid, n_fraud): votes for each probe count, from one scan."""
-    wanted = [check_nprobe(n, index.k) for n in nprobes]
-    found = candidates(queries, index, max(wanted), k, cuts=tuple(wanted), **options)
-    each = found.withColumn("nprobe", F.explode(F.array(*(F.lit(n) for n in sorted({*wanted}))))).where(F.col("crank") <= F.col("nprobe"))
+    wanted = sorted({check_nprobe(n, index.k) for n in nprobes})
+    every = F.explode(F.array(*(F.lit(n) for n in wanted))).alias("nprobe")
+    found = candidates(queries, index, wanted[-1], k, **options)
+    each = found.select("*", every).where(F.col("crank") <= F.col("nprobe"))
     w = Window.partitionBy("nprobe", "qid").orderBy("d", "crank", "ref_id")
-    return each.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy("nprobe", "qid").agg(F.sum("label").cast("int").alias("n_fraud"))
+    counted = each.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= k).groupBy("nprobe", "qid").agg(F.sum("label").cast("int").alias("n_fraud"))
+    return answered(counted, queries.select("qid", every), ["n_fraud"], "nprobe").select("nprobe", "qid", "n_fraud")

@@ -1,18 +1,34 @@
-"""NumPy kernels over Arrow batches, for distances of many vectors at once.
+"""NumPy kernels over Arrow columns, for distances of many vectors at once.
 
-Only bounded things reach a kernel's closure: a block of queries, or centroids.
+Only bounded things reach a kernel: a slice of vectors, a block of queries, or
+centroids.  Distances are computed for as many queries at a time as keep the
+matrix under ``CELLS`` numbers.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
+CELLS = 4_000_000
 
-def matrix(column: pa.Array, dtype=np.float64) -> np.ndarray:
-    """A list column of equal lengths as rows of a matrix."""
-    flat = column.flatten().to_numpy(zero_copy_only=False)
-    return flat.astype(dtype).reshape(len(column), -1) if len(column) else np.zeros((0, 0), dtype)
+
+def matrix(column: pa.Array | pa.ChunkedArray, dtype=np.float64) -> np.ndarray:
+    """A list column as rows of a matrix; null vectors, null values and vectors of
+    different lengths are errors, never shifted into the next row."""
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    if not len(column):
+        return np.zeros((0, 0), dtype)
+    if column.null_count:
+        raise ValueError(f"{column.null_count} of {len(column)} vectors are null")
+    lengths = pc.min_max(pc.list_value_length(column)).as_py()
+    if lengths["min"] != lengths["max"]:
+        raise ValueError(f"vectors of {lengths['min']} to {lengths['max']} values; one length expected")
+    flat = column.flatten()
+    if flat.null_count:
+        raise ValueError("a vector has a null value")
+    return flat.to_numpy(zero_copy_only=False).astype(dtype).reshape(len(column), lengths["min"])
 
 
 def distances(a: np.ndarray, b: np.ndarray, exact_int: bool) -> np.ndarray:
@@ -21,6 +37,8 @@ def distances(a: np.ndarray, b: np.ndarray, exact_int: bool) -> np.ndarray:
     Integers expand the square: products stay under 2**53, so doubles are exact.
     Floats subtract first, which loses nothing to cancellation.
     """
+    if len(a) and len(b) and a.shape[1] != b.shape[1]:
+        raise ValueError(f"vectors of {a.shape[1]} and of {b.shape[1]} values")
     if exact_int:
         return (a * a).sum(1)[:, None] + (b * b).sum(1)[None, :] - 2.0 * (a @ b.T)
     out = np.empty((len(a), len(b)))
@@ -30,10 +48,21 @@ def distances(a: np.ndarray, b: np.ndarray, exact_int: bool) -> np.ndarray:
     return out
 
 
-def best(order: list[np.ndarray], k: int) -> np.ndarray:
-    """Row numbers of the ``k`` smallest by the keys in ``order``, first key first."""
-    if len(order[0]) > 4 * k:
-        cut = np.partition(order[0], k - 1)[k - 1]
-        near = np.flatnonzero(order[0] <= cut)
-        return near[np.lexsort([o[near] for o in reversed(order)])[:k]]
-    return np.lexsort(order[::-1])[:k]
+def nearest(refs: np.ndarray, ids: np.ndarray, queries: np.ndarray, qids: np.ndarray, k: int, exact_int: bool, skip_self: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, reference row, distance) of the k nearest references of each
+    query by (distance, id), queries in order."""
+    found: list[tuple[np.ndarray, ...]] = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+    step = max(1, CELLS // max(1, len(refs)))
+    for at in range(0, len(queries) if len(refs) else 0, step):
+        d = distances(refs, queries[at : at + step], exact_int)
+        if skip_self:
+            d[ids[:, None] == qids[None, at : at + step]] = np.inf
+        cut = np.partition(d, k - 1, axis=0)[k - 1] if len(refs) > k else np.full(d.shape[1], np.inf)
+        row, col = np.nonzero((d <= cut) & (d < np.inf))
+        order = np.lexsort((ids[row], d[row, col], col))
+        row, col = row[order], col[order]
+        first = np.searchsorted(col, col, side="left")
+        keep = np.arange(len(col)) - first < k
+        row, col = row[keep], col[keep]
+        found.append((col + at, row, d[row, col]))
+    return tuple(np.concatenate(x) for x in zip(*found, strict=True))

@@ -15,7 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .kernels import distances, matrix
+from ..storage import delete, work_path
+from .kernels import CELLS, distances, matrix
 
 FIXED = 1e9
 
@@ -26,6 +27,8 @@ class KMeans:
     #: The centroids that the stored assignments refer to: those before the last update.
     assigned_by: np.ndarray
     movements: list[float]
+    #: Points that ``assigned_by`` gives to each centroid.
+    sizes: np.ndarray
 
 
 def initial(points: DataFrame, k: int, seed: int | None = None) -> np.ndarray:
@@ -39,13 +42,18 @@ def initial(points: DataFrame, k: int, seed: int | None = None) -> np.ndarray:
     return np.array([r.v for r in rows], dtype=np.float64)
 
 
+def closest(x: np.ndarray, centroids: np.ndarray) -> np.ndarray:
+    step = max(1, CELLS // len(centroids))
+    return np.concatenate([distances(x[at : at + step], centroids, False).argmin(1) for at in range(0, len(x), step)])
+
+
 def assign(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     """``points`` with cid, the nearest centroid's number; ties: the lowest."""
     fields = points.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            cid = distances(matrix(b.column("v")), centroids, False).argmin(1) if b.num_rows else np.zeros(0)
+            cid = closest(matrix(b.column("v")), centroids) if b.num_rows else np.zeros(0)
             yield b.append_column("cid", pa.array(cid.astype(np.int32)))
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields) + ", cid int"
@@ -60,7 +68,7 @@ def _sums(points: DataFrame, centroids: np.ndarray) -> DataFrame:
         for b in batches:
             if b.num_rows:
                 x = matrix(b.column("v"))
-                cid = distances(x, centroids, False).argmin(1)
+                cid = closest(x, centroids)
                 fixed = (np.sign(x) * np.floor(np.abs(x * FIXED) + 0.5)).astype(np.int64)
                 np.add.at(total, cid, fixed)
                 n += np.bincount(cid, minlength=k)
@@ -73,26 +81,45 @@ def _sums(points: DataFrame, centroids: np.ndarray) -> DataFrame:
     return each.groupBy("cid", "i").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
 
 
-def update(points: DataFrame, centroids: np.ndarray) -> np.ndarray:
-    """The means of the points assigned to each centroid: k * dim numbers."""
-    new = centroids.copy()
+def _round(points: DataFrame, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and numbers of the points assigned to each centroid: k * dim numbers."""
+    new, sizes = centroids.copy(), np.zeros(len(centroids), dtype=np.int64)
     for r in _sums(points, centroids).collect():
         new[r.cid, r.i] = float(r.x) / float(r.n) / FIXED
-    return new
+        sizes[r.cid] = r.n
+    return new, sizes
+
+
+def update(points: DataFrame, centroids: np.ndarray) -> np.ndarray:
+    """The means of the points assigned to each centroid; one without any stays."""
+    return _round(points, centroids)[0]
 
 
 def movement(old: np.ndarray, new: np.ndarray) -> float:
     return float(np.sqrt(((new - old) ** 2).sum(1)).sum())
 
 
-def train(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-4, seed: int | None = None) -> KMeans:
+def train(points: DataFrame, k: int, rounds: int = 20, tolerance: float = 1e-4, seed: int | None = None, copy: bool = True) -> KMeans:
     """At most ``rounds`` rounds over ``points`` (ref_id, v, ...), fewer once the
-    centroids' total movement falls below ``tolerance``."""
+    centroids' total movement falls below ``tolerance``.
+
+    Every round reads the points again, so ``copy`` writes the two columns once to
+    the shared folder; without it the input must be cheap to read, as a table is.
+    """
+    spark, path = points.sparkSession, None
+    if copy:
+        path = work_path(spark, "kmeans-points")
+        points.select("ref_id", "v").write.parquet(path)
+        points = spark.read.parquet(path)
     now, moves = initial(points, k, seed), []
-    before = now
+    before, sizes = now, None
     for _ in range(rounds):
-        before, now = now, update(points, now)
+        before = now
+        now, sizes = _round(points, now)
         moves.append(movement(before, now))
         if moves[-1] < tolerance:
             break
-    return KMeans(now, before, moves)
+    sizes = _round(points, before)[1] if sizes is None else sizes
+    if path:
+        delete(spark, path)
+    return KMeans(now, before, moves, sizes)

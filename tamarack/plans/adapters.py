@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.features import seconds_of
 from ..functions.vectors import abs_max, fit_scale, quantize
 
 DAY = 86_400
@@ -46,26 +47,27 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     in_order = by_user.orderBy("sec", "event_id")
     e = e.select(
         "event_id", "user_id", "event_type", "value",
-        F.unix_timestamp(F.col("ts").cast("timestamp")).alias("sec"),
+        seconds_of(F.col("ts")).alias("sec"),
+        # The digits of a timestamp_ntz, so the session's time zone has no part in them.
+        F.concat(F.translate(F.substring(F.col("ts").cast("string"), 1, 19), " ", "T"), F.lit("Z")).alias("iso"),
         F.get_json_object("props", "$.k").cast("int").alias("k"),
     )
     cents = F.round(F.col("value") * 100).cast("long")
     # Averages and counts are aggregates joined back, or running windows: no user's rows are collected.
     users = e.groupBy("user_id").agg((F.sum(cents) / F.count("*") / 100.0).alias("user_avg"))
     kinds = e.groupBy("event_type").agg((F.sum(cents) / F.count("*") / 100.0).alias("kind_avg"))
-    e = e.withColumn("n_day", F.count("*").over(by_user.orderBy("sec").rangeBetween(-DAY, 0)).cast("int")).withColumn("last_sec", F.lag("sec").over(in_order))
+    e = e.withColumn("n_day", F.count("*").over(by_user.orderBy("sec").rangeBetween(-DAY, 0)).cast("int")).withColumn("last_iso", F.lag("iso").over(in_order))
     # Null-safe: events without a user or a type are a group of their own, as in the windows.
     users, kinds = users.withColumnRenamed("user_id", "_user"), kinds.withColumnRenamed("event_type", "_kind")
-    e = e.join(users, F.col("user_id").eqNullSafe(F.col("_user"))).join(F.broadcast(kinds), F.col("event_type").eqNullSafe(F.col("_kind")))
-    iso = lambda s: F.date_format(F.timestamp_seconds(s), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    e = e.join(users, F.col("user_id").eqNullSafe(F.col("_user"))).join(kinds, F.col("event_type").eqNullSafe(F.col("_kind")))
     mcc = F.create_map(*(F.lit(x) for kv in MCC.items() for x in kv))
-    last = F.struct(iso(F.col("last_sec")).alias("timestamp"), (F.col("k") * 11.5).alias("km_from_current"))
+    last = F.struct(F.col("last_iso").alias("timestamp"), (F.col("k") * 11.5).alias("km_from_current"))
     return e.select(
         "event_id",
         F.col("event_id").cast("string").alias("id"),
-        F.struct(F.col("value").alias("amount"), (F.col("k") % 15).alias("installments"), iso(F.col("sec")).alias("requested_at")).alias("transaction"),
+        F.struct(F.col("value").alias("amount"), (F.col("k") % 15).alias("installments"), F.col("iso").alias("requested_at")).alias("transaction"),
         F.struct(F.col("user_avg").alias("avg_amount"), F.col("n_day").alias("tx_count_24h"), F.array(*(F.lit(x) for x in KNOWN)).alias("known_merchants")).alias("customer"),
         F.struct(F.col("event_type").alias("id"), F.try_element_at(mcc, F.col("event_type")).alias("mcc"), F.col("kind_avg").alias("avg_amount")).alias("merchant"),
         F.struct((F.col("k") % 2 == 0).alias("is_online"), (F.col("k") % 3 == 0).alias("card_present"), (F.col("k") * 12.5).alias("km_from_home")).alias("terminal"),
-        F.when(F.col("last_sec").isNotNull(), last).alias("last_transaction"),
+        F.when(F.col("last_iso").isNotNull(), last).alias("last_transaction"),
     )

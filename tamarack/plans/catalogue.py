@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,9 +11,11 @@ from ..functions import features as ft
 from ..functions import vectors as vx
 from ..operators import evaluate, ivf, kmeans, search
 from ..operators.index import IvfIndex
-from ..sources.payloads import parse_payloads, split_rejects
+from ..sources.payloads import parse_payloads, read_lookup, read_references, split_rejects
+from ..storage import work_path, written
+from ..streaming import scorer
 from .adapters import payloads, quantized, query_set, references, table
-from .oracles import FAST, FULL, K, NPROBES, ORACLES, ROUNDS
+from .oracles import DEEP, FAST, FULL, K, NPROBES, ORACLES, ROUNDS
 
 __all__ = ["ORACLES", "QUERIES"]
 
@@ -67,8 +71,9 @@ def quantize_vectors(spark, sf_dir):
 
 
 def _pairs(refs: DataFrame) -> DataFrame:
-    parts = [F.broadcast(b) for b in search.blocks(query_set(refs), "qid")]
-    return search._union([refs.crossJoin(b.select("qid", F.col("v").alias("qv"))) for b in parts])
+    """All pairs are the result.  A small query set, which is counted, is broadcast."""
+    q = query_set(refs).select("qid", F.col("v").alias("qv"))
+    return refs.crossJoin(F.broadcast(q) if search.at_most(q, search.BLOCK) else q)
 
 
 def l2_float_pairs(spark, sf_dir):
@@ -96,7 +101,7 @@ def knn_exact_float(spark, sf_dir):
 
 
 def knn_vote(spark, sf_dir):
-    return search.vote(_exact(spark, sf_dir, True)).select("qid", "n_fraud", "n_neighbours", "approved")
+    return search.vote(_exact(spark, sf_dir, True), queries=query_set(references(spark, sf_dir))).select("qid", "n_fraud", "n_neighbours", "approved")
 
 
 def _named(refs: DataFrame) -> DataFrame:
@@ -122,19 +127,19 @@ def kmeans_update(spark, sf_dir):
 
 
 def kmeans_movement(spark, sf_dir):
-    model = kmeans.train(references(spark, sf_dir), K, ROUNDS)
+    model = kmeans.train(references(spark, sf_dir), K, ROUNDS, copy=False)
     return spark.createDataFrame([(t + 1, round(m, 6)) for t, m in enumerate(model.movements)], "round int, movement double")
 
 
 def kmeans_t3(spark, sf_dir):
     refs = references(spark, sf_dir)
-    model = kmeans.train(refs, K, ROUNDS)
+    model = kmeans.train(refs, K, ROUNDS, copy=False)
     return _named(kmeans.assign(refs.select("ref_id", "v"), model.assigned_by).select("ref_id", "cid"))
 
 
 def _index(spark, sf_dir) -> tuple[DataFrame, IvfIndex]:
     refs = references(spark, sf_dir)
-    return refs, IvfIndex.build(refs, K, ROUNDS)
+    return refs, IvfIndex.build(refs, K, ROUNDS, copy=False)  # refs is a table
 
 
 def ivf_list_sizes(spark, sf_dir):
@@ -160,7 +165,7 @@ def nprobe_sweep(spark, sf_dir):
     """Wrong decisions and recall of the exact answer, for each probe count."""
     refs, index = _index(spark, sf_dir)
     q = query_set(refs)
-    counts = ivf.sweep(q, index, NPROBES, skip_self=True).join(F.broadcast(q.select("qid", "actual")), "qid")
+    counts = ivf.sweep(q, index, NPROBES, skip_self=True).join(q.select("qid", "actual"), "qid")
     wrong = (F.col("actual") == 1) != (F.col("n_fraud") >= 3)
     return counts.groupBy("nprobe").agg(F.count("*").alias("n"), F.sum("n_fraud").alias("votes"), F.sum(wrong.cast("int")).alias("wrong"))
 
@@ -174,7 +179,7 @@ def ivf_recall(spark, sf_dir):
 def confusion_score(spark, sf_dir):
     refs = quantized(references(spark, sf_dir))[0]
     q = query_set(refs)
-    rows = search.vote(search.exact_knn(q, refs)).join(F.broadcast(q.select("qid", "actual")), "qid")
+    rows = search.vote(search.exact_knn(q, refs)).join(q.select("qid", "actual"), "qid")
     rows = rows.withColumn("predicted", (~F.col("approved")).cast("int"))
     made = evaluate.detection_score(evaluate.confusion(rows))
     return made.select("n", "tp", "fp", "fn", "tn", "errors", "weighted_errors", F.round("detection_score", 6).alias("detection_score"))
@@ -199,6 +204,84 @@ def decision_json(spark, sf_dir):
     return votes.select("qid", vx.decision_json(F.col("n_fraud")).alias("response"))
 
 
+def _stored(spark, sf_dir) -> tuple[DataFrame, IvfIndex]:
+    """The index as it is read back from where it was saved."""
+    refs, index = _index(spark, sf_dir)
+    path = work_path(spark, "index")
+    index.save(path)
+    return refs, IvfIndex.load(spark, path)
+
+
+def ivf_stored_search(spark, sf_dir):
+    refs, index = _stored(spark, sf_dir)
+    return ivf.ivf_search(query_set(refs), index, DEEP, skip_self=True).select("qid", F.col("ref_id").alias("vec_id"), "d", "rn")
+
+
+def ivf_stored_recall(spark, sf_dir):
+    refs, index = _stored(spark, sf_dir)
+    q = query_set(refs)
+    return evaluate.recall(ivf.ivf_search(q, index, DEEP, skip_self=True), search.exact_knn(q, refs, integer=False), vx.TOP_K)
+
+
+def knn_score(spark, sf_dir):
+    refs, index = _stored(spark, sf_dir)
+    return ivf.knn_score(query_set(refs), index, DEEP).select("qid", "n_fraud", "fraud_score", "approved")
+
+
+def _bodies(spark, sf_dir) -> tuple[DataFrame, IvfIndex]:
+    """Payloads as JSON (event_id, event_type, body), and a stored index over all of their vectors."""
+    p = payloads(spark, sf_dir)
+    raw = p.select("event_id", F.col("merchant.id").alias("event_type"), F.to_json(F.struct("id", "transaction", "customer", "merchant", "terminal", "last_transaction")).alias("body"))
+    raw = written(raw, "bodies")
+    points = ft.vectorize(split_rejects(parse_payloads(raw))[0], "v").select(F.col("event_id").alias("ref_id"), "v", F.coalesce((F.col("event_type") == "error").cast("int"), F.lit(0)).alias("label"))
+    path = work_path(spark, "index")
+    IvfIndex.build(points, K, ROUNDS).save(path)
+    return raw, IvfIndex.load(spark, path, ft.DIM)
+
+
+def _asked(raw: DataFrame) -> DataFrame:
+    return raw.where(F.col("event_id") % 100 == 0).select(F.col("event_id").alias("qid"), "body")
+
+
+def score_payloads(spark, sf_dir):
+    """Payload texts to answers, over a stored index of payload vectors."""
+    raw, index = _bodies(spark, sf_dir)
+    return scorer.score_raw(_asked(raw), index, FAST, DEEP)[0].select("qid", "response")
+
+
+def stream_decisions(spark, sf_dir):
+    """The same by a stream over JSON files, stopped when all are scored."""
+    raw, index = _bodies(spark, sf_dir)
+    source, sink, rejects, checkpoint = (work_path(spark, name) for name in ("requests", "decisions", "rejects", "stream"))
+    _asked(raw).write.json(source)
+    scorer.stream_decisions(spark, source, index, sink, rejects, checkpoint, FAST, DEEP, once=True).awaitTermination()
+    return spark.read.schema("qid long, n_fraud int, approved boolean, response string").parquet(sink).select("qid", "response")
+
+
+def respond(spark, sf_dir):
+    """Statuses: a third asks whether the service is ready, a third has no route, a third no payload."""
+    e, kind = table(spark, sf_dir, "events").select(F.col("event_id").alias("qid")), F.col("qid") % 3
+    asked = e.select("qid", F.when(kind == 0, "GET").otherwise("POST").alias("method"), F.when(kind == 0, "/ready").when(kind == 2, "/fraud-score").otherwise("/other").alias("path"), F.lit("{broken").alias("body"))
+    refs, index = _index(spark, sf_dir)
+    return scorer.respond(asked, index, FAST, DEEP)
+
+
+def references_json(spark, sf_dir):
+    """References written as JSON lines and read again."""
+    refs, path = references(spark, sf_dir), work_path(spark, "references")
+    refs.select("ref_id", F.col("v").alias("vector"), F.when(F.col("label") == 1, "fraud").otherwise("legit").alias("label")).write.json(path)
+    read = read_references(spark, path, dim=64, lines=True)
+    return read.select("ref_id", "label", F.posexplode("vector").alias("dim", "y")).select("ref_id", "label", "dim", F.col("y").cast("double").alias("x"))
+
+
+def lookup_risk(spark, sf_dir):
+    """Risks of categories as a lookup file has them."""
+    path = work_path(spark, "risks")
+    spark.createDataFrame([(json.dumps(ft.RISK),)], "value string").coalesce(1).write.text(path)
+    made = ft.vectorize(payloads(spark, sf_dir), risk=read_lookup(spark, path))
+    return made.select("event_id", F.col("vector")[12].cast("double").alias("f12"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -207,5 +290,6 @@ QUERIES = {
         kmeans_init, kmeans_assign, kmeans_update, kmeans_movement, kmeans_t3,
         ivf_list_sizes, ivf_probe, ivf_search, ivf_adaptive, nprobe_sweep, ivf_recall,
         confusion_score, latency_score, latency_histogram, stage_stats, decision_json,
+        ivf_stored_search, ivf_stored_recall, knn_score, score_payloads, stream_decisions, respond, references_json, lookup_risk,
     )
 }

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 K, ROUNDS, FAST, FULL, NPROBES = 16, 3, 2, 4, [1, 2, 4, 8, 16]
+#: Lists that searches over a stored index probe: recall is 0.9 or more (tests measure it).
+DEEP = 12
 
 # --- payload features -------------------------------------------------------
 
@@ -30,6 +32,7 @@ def _scaled(x: str, limit: int) -> str:
 
 
 _TIME = "make_timestamp(sec * 1000000)"
+# Risks of the categories that the adapter gives the event types.
 _RISK = "CASE event_type WHEN 'click' THEN 0.15 WHEN 'view' THEN 0.30 WHEN 'purchase' THEN 0.85 ELSE 0.5 END"
 _MINUTES = "CAST(CAST(sec - last_sec AS FLOAT) / 60::FLOAT AS FLOAT)"
 _RATIO = "CAST(CAST(value AS FLOAT) / CAST(user_avg AS FLOAT) AS FLOAT)"
@@ -91,9 +94,9 @@ VOTES = f"{KNN_INT}, votes AS (SELECT qid, any_value(actual) AS actual, CAST(sum
 # --- k-means ----------------------------------------------------------------
 
 
-def _kmeans(rounds: int) -> str:
+def _kmeans(rounds: int, base: str = BASE) -> str:
     """a1, c1, a2, c2, ...: assignments and centroids of each round, from c0."""
-    out = [f"{BASE}, c0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cid, e AS c FROM r QUALIFY cid < {K})"]
+    out = [f"{base}, c0 AS (SELECT CAST(row_number() OVER (ORDER BY vec_id) - 1 AS INTEGER) AS cid, e AS c FROM r QUALIFY cid < {K})"]
     for t in range(1, rounds + 1):
         out.append(
             f"""a{t} AS MATERIALIZED (
@@ -115,7 +118,8 @@ def _moves() -> str:
     return f"WITH {_kmeans(ROUNDS)}\n" + "\nUNION ALL ".join(each)
 
 
-INDEX = f"""{_kmeans(ROUNDS)}, sc AS (
+def _index(base: str = BASE) -> str:
+    return f"""{_kmeans(ROUNDS, base)}, sc AS (
   SELECT 16383::DOUBLE / greatest((SELECT largest FROM am), (SELECT max(list_max(list_transform(c, lambda x: abs(x)))) FROM c{ROUNDS})) AS scale
 ), lists AS MATERIALIZED (
   SELECT r.vec_id, a.cid, r.label, list_transform(r.e, lambda x: {_round("x * sc.scale")}) AS v FROM r JOIN a{ROUNDS} a USING (vec_id), sc
@@ -129,17 +133,26 @@ INDEX = f"""{_kmeans(ROUNDS)}, sc AS (
 )"""
 
 
+INDEX = _index()
+#: The same index over the feature vectors of payloads; errors are labelled 1.
+EVENTS = f"""{PAYLOADS}, r AS (
+  SELECT event_id AS vec_id, list_transform([{", ".join(f"CAST({f} AS FLOAT)" for f in FEATURES)}], lambda x: CAST(x AS DOUBLE)) AS e, CASE WHEN event_type = 'error' THEN 1 ELSE 0 END AS label FROM p
+), am AS (
+  SELECT max(list_max(list_transform(e, lambda x: abs(x)))) AS largest FROM r
+)"""
+
+
 def _ivf_top(nprobe: int, skip_self: bool, name: str) -> str:
     own = " AND vec_id <> qid" if skip_self else ""
     return f"{name} AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, crank, vec_id) AS rn FROM cand WHERE crank <= {nprobe}{own} QUALIFY rn <= 5)"
 
 
-def _adaptive() -> str:
+def _adaptive(index: str = INDEX, fast: int = FAST, full: int = FULL, result: str = "qid, fast_count, full_count, n_fraud, n_fraud < 3 AS approved") -> str:
     count = lambda t: f"SELECT qid, CAST(sum(label) AS INTEGER) AS n FROM {t} GROUP BY qid"
-    return f"""WITH {INDEX}, {_ivf_top(FAST, False, "fa")}, {_ivf_top(FULL, False, "fu")}, x AS (
+    return f"""WITH {index}, {_ivf_top(fast, False, "fa")}, {_ivf_top(full, False, "fu")}, x AS (
   SELECT b.qid, coalesce(a.n, 0) AS fast_count, b.n AS full_count FROM ({count("fu")}) b LEFT JOIN ({count("fa")}) a USING (qid)
 ), y AS (SELECT *, CASE WHEN fast_count IN (2, 3) THEN full_count ELSE fast_count END AS n_fraud FROM x)
-SELECT qid, fast_count, full_count, n_fraud, n_fraud < 3 AS approved FROM y"""
+SELECT {result} FROM y"""
 
 
 def _sweep() -> str:
@@ -149,12 +162,16 @@ def _sweep() -> str:
 SELECT nprobe, count(*) AS n, CAST(sum(n_fraud) AS BIGINT) AS votes, CAST(sum(CASE WHEN (actual = 1) <> (n_fraud >= 3) THEN 1 ELSE 0 END) AS BIGINT) AS wrong FROM ({each}) GROUP BY nprobe"""
 
 
-def _recall() -> str:
+def _recall(nprobe: int = FULL) -> str:
     exact = f"ed AS (SELECT a.vec_id AS qid, b.vec_id, {_distance('a.e', 'b.e')} AS d FROM r a, r b WHERE a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id), ex AS (SELECT qid, vec_id FROM ed QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, vec_id) <= 5)"
-    return f"""WITH {INDEX}, {_ivf_top(FULL, True, "t")}, {exact}
+    return f"""WITH {INDEX}, {_ivf_top(nprobe, True, "t")}, {exact}
 SELECT ex.qid, count(t.vec_id) AS n_common, count(t.vec_id) / 5.0::DOUBLE AS recall FROM ex LEFT JOIN t ON t.qid = ex.qid AND t.vec_id = ex.vec_id GROUP BY ex.qid"""
 
 
+# The six answers.
+RESPONSE = """CASE n_fraud WHEN 0 THEN '{"approved":true,"fraud_score":0.0}' WHEN 1 THEN '{"approved":true,"fraud_score":0.2}' WHEN 2 THEN '{"approved":true,"fraud_score":0.4}'
+  WHEN 3 THEN '{"approved":false,"fraud_score":0.6}' WHEN 4 THEN '{"approved":false,"fraud_score":0.8}' ELSE '{"approved":false,"fraud_score":1.0}' END"""
+
 ORACLES = {
     "feature_scalars": _feature_sql([0, 1, 2, 7, 8, 13]),
     "feature_calendar": _feature_sql([3, 4]),
@@ -192,6 +209,15 @@ SELECT round(p50, 6) AS p50, round(p95, 6) AS p95, round(p99, 6) AS p99, round(m
     "stage_stats": """WITH x AS (SELECT event_type, CAST(round(value * 100) AS BIGINT) AS c FROM events)
 SELECT event_type, count(*) AS calls, CAST(sum(c) AS BIGINT) AS total, max(c) AS largest, round(CAST(sum(c) AS DOUBLE) / count(*), 6) AS average,
   round(100.0::DOUBLE * CAST(sum(c) AS DOUBLE) / (SELECT CAST(sum(c) AS DOUBLE) FROM x), 6) AS share FROM x GROUP BY event_type""",
-    "decision_json": f"""WITH {VOTES} SELECT qid, CASE n_fraud WHEN 0 THEN '{{"approved":true,"fraud_score":0.0}}' WHEN 1 THEN '{{"approved":true,"fraud_score":0.2}}' WHEN 2 THEN '{{"approved":true,"fraud_score":0.4}}'
-  WHEN 3 THEN '{{"approved":false,"fraud_score":0.6}}' WHEN 4 THEN '{{"approved":false,"fraud_score":0.8}}' ELSE '{{"approved":false,"fraud_score":1.0}}' END AS response FROM votes""",
+    "ivf_stored_search": f"WITH {INDEX}, {_ivf_top(DEEP, True, 't')} SELECT qid, vec_id, d, CAST(rn AS INTEGER) AS rn FROM t",
+    "ivf_stored_recall": _recall(DEEP),
+    "knn_score": f"""WITH {INDEX}, {_ivf_top(DEEP, False, 't')}, s AS (SELECT qid, CAST(sum(label) AS INTEGER) AS n_fraud FROM t GROUP BY qid)
+SELECT qid, n_fraud, n_fraud / 5.0::DOUBLE AS fraud_score, n_fraud < 3 AS approved FROM s""",
+    "score_payloads": _adaptive(_index(EVENTS), FAST, DEEP, f"qid, {RESPONSE} AS response"),
+    "stream_decisions": _adaptive(_index(EVENTS), FAST, DEEP, f"qid, {RESPONSE} AS response"),
+    "respond": f"""WITH {PAYLOADS} SELECT event_id AS qid, CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 400 END AS status,
+  CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'not found' ELSE 'bad request' END AS response FROM p""",
+    "references_json": f"SELECT vec_id AS ref_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",
+    "lookup_risk": _feature_sql([12]),
+    "decision_json": f"""WITH {VOTES} SELECT qid, {RESPONSE} AS response FROM votes""",
 }

@@ -36,13 +36,21 @@ def split_rejects(parsed: DataFrame) -> tuple[DataFrame, DataFrame]:
     return parsed.where(~bad).drop(CORRUPT, "_body"), parsed.where(bad).select(F.col("_body").alias("body"))
 
 
-def read_references(spark: SparkSession, path: str, dim: int = 14) -> DataFrame:
-    """(ref_id, vector, label): one JSON array; ``fraud`` is 1, any other label 0.
+def read_references(spark: SparkSession, path: str, dim: int = 14, lines: bool = False) -> DataFrame:
+    """(ref_id, vector, label); ``fraud`` is 1, any other label 0.
 
-    ref_id follows the file's order, which breaks ties of distance.
+    One JSON array in one file: ref_id follows the file's order, which breaks ties
+    of distance; Spark reads it in one task.  ``lines``: JSON lines in any number of
+    files, read in parallel; each row states its ref_id, as files have no order.
     """
-    rows = spark.read.schema(REFERENCE).option("multiLine", True).json(path)
-    return rows.select(F.monotonically_increasing_id().alias("ref_id"), _sized("vector", dim), fraud_flag(F.col("label")).alias("label"))
+    rows = spark.read.schema(f"ref_id long, {REFERENCE}").option("multiLine", not lines).json(path)
+    if lines:
+        number = F.when(F.col("ref_id").isNull(), F.raise_error("a line without ref_id").cast("long")).otherwise(F.col("ref_id"))
+    elif len(rows.inputFiles()) > 1:
+        raise ValueError(f"{path}: several arrays have no order; write JSON lines with ref_id")
+    else:
+        number = F.monotonically_increasing_id()
+    return rows.select(number.alias("ref_id"), _sized("vector", dim), fraud_flag(F.col("label")).alias("label"))
 
 
 def fraud_flag(label: Column) -> Column:
