@@ -1,11 +1,14 @@
 """Quality rules as weak supervision (operator 5), in DataFrame functions only.
 
 Each rule votes good, bad or abstains on a document.  The votes are counted by
-pattern (3**rules at most, whatever the input's size); expectation-maximisation
-over those counts estimates, for each rule, how often it votes right on good and
-on bad documents, and the share of good ones.  The posterior probability that a
-document is good replaces all-must-pass filtering: a document stays if it does
-not fail the base rules and its posterior is at least ``keep_at``.
+pattern (3**12 at most, whatever the input's size); expectation-maximisation over
+those counts estimates, for each rule, how often it votes bad on good and on bad
+documents, and the share of good ones.  The posterior probability that a document
+is good replaces all-must-pass filtering: a document stays if it does not fail the
+base rules and its posterior is at least ``keep_at``.  Every kind of fault has
+several rules (symbols: four, repetition: two, form of lines: two, characters:
+three), so that they can confirm or contradict each other; a bad vote that no other
+rule bears out does not by itself reject a document.
 
 Features are computed once, beside the carried columns, and written; counts and
 verdicts read that table.
@@ -19,8 +22,7 @@ steps: repeated windows are found by sorting window hashes.
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -28,8 +30,9 @@ from ._common import SPACE_CLASS, space_words, written
 from ._spans import let
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_upper", "n_marks", "n_lines"]
-RULES = ["symbols", "repetition", "shouting", "word_length", "length"]
+EXTRA = ["n_kinds", "n_wordless", "n_lettered", "n_upper", "n_marks", "n_digits", "n_lines", "n_ended", "n_short"]
+RULES = ["symbols", "symbol_kinds", "wordless", "lettered", "marks", "word_length", "repetition", "dup_lines", "capitals", "digits", "ended", "short_lines"]
+SYMBOLS = "#*$%&|<>"
 
 
 def _repeat_words(w: Column, n: Column) -> Column:
@@ -56,16 +59,23 @@ def with_features(docs: DataFrame, carry: list[str], text_col: str = "text") ->
     """``row``, a struct of the ``carry`` columns, and ``_`` + each of BASE and EXTRA (long)."""
     out = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     only = lambda kept: F.length(F.regexp_replace("_t", f"[^{kept}]+", ""))
+    words_with = lambda kept: F.regexp_count("_t", F.lit(rf"[^{SPACE_CLASS}{kept}]*+[{kept}][^{SPACE_CLASS}]*+"))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
     out = out.withColumns({"_w": space_words(F.col("_t")), "_lines": lines})
     out = out.withColumns({
         "_n_words": F.size("_w"),
         "_word_chars": F.length(F.regexp_replace("_t", f"[{SPACE_CLASS}]+", "")),
-        "_n_symbols": only("#*$%&|<>"),
+        "_n_symbols": only(SYMBOLS),
+        "_n_kinds": sum((F.col("_t").contains(c).cast("int") for c in SYMBOLS), F.lit(0)),
         "_n_dup_lines": F.size("_lines") - F.size(F.array_distinct("_lines")),
         "_n_upper": only("A-Z"),
         "_n_marks": only("!?"),
+        "_n_digits": only("0-9"),
+        "_n_lettered": words_with(r"\p{L}"),
+        "_n_wordless": F.size("_w") - words_with(r"\p{L}\p{N}"),
         "_n_lines": F.size("_lines"),
+        "_n_ended": F.size(F.filter("_lines", lambda x: x.rlike(rf"[.!?\u2026\"'\u201d\u00bb)][{SPACE_CLASS}]*$"))),
+        "_n_short": F.size(F.filter("_lines", lambda x: F.length(x) < 30)),
     })
     out = out.withColumn("_n_repeat_words", _repeat_words(F.col("_w"), F.col("_n_words")))
     return out.select("row", *(F.col(f"_{c}").cast("long").alias(f"_{c}") for c in BASE + EXTRA))
@@ -75,71 +85,85 @@ def base_failed() -> Column:
     return (F.col("_n_words") < 50) | (100 * F.col("_n_repeat_words") > 50 * F.col("_n_words"))
 
 
+#: Limits of published heuristics for web text: those of the MassiveText filters (symbols
+#: 0.1 a word, words with a letter 0.8, mean word of 3 to 10 characters, repeated lines 0.3)
+#: and of FineWeb (ended lines 0.12, lines under 30 characters 0.67).  Marks and words
+#: without letter or digit take the limit of symbols, repeated windows that of repeated
+#: lines; capitals, digits and kinds of symbols a half, a fifth and a half of what there can
+#: be.  A rule votes bad beyond its limit, good where a document is twice as far on the
+#: right side of it, and abstains in between; none of this is fitted to labels.
+LIMITS = {"symbols": 0.1, "symbol_kinds": 0.5 * len(SYMBOLS), "wordless": 0.1, "marks": 0.1, "repetition": 0.3, "dup_lines": 0.3, "capitals": 0.5, "digits": 0.2, "short_lines": 0.67}
+LETTERED, ENDED, WORD_LENGTH = 0.8, 0.12, (3, 10)
+
+
 def votes() -> list[Column]:
     """One column for each of RULES: 1 good, -1 bad, 0 abstains."""
     share = lambda a, b: F.col(f"_{a}") / F.greatest(F.col(f"_{b}"), F.lit(1))
+    several = F.col("_n_lines") > 1
 
     def vote(good: Column, bad: Column) -> Column:
         return F.when(bad, -1).when(good, 1).otherwise(0)
 
-    symbols, repeats = share("n_symbols", "n_words"), share("n_repeat_words", "n_words")
-    lines, capitals = share("n_dup_lines", "n_lines"), share("n_upper", "word_chars")
-    marks, length = share("n_marks", "n_words"), share("word_chars", "n_words")
-    return [
-        vote(symbols < 0.02, symbols > 0.25),
-        vote((repeats < 0.15) & (lines < 0.1), (repeats > 0.45) | (lines > 0.5)),
-        vote((capitals < 0.15) & (marks < 0.1), (capitals > 0.4) | (marks > 0.4)),
-        vote((length >= 3) & (length <= 12), (length < 2) | (length > 25)),
-        vote(F.col("_n_words") >= 100, F.col("_n_words") < 5),
-    ]
-
-
-#: Prior rates of a vote being wrong on a good and right on a bad document.
-WRONG_ON_GOOD, RIGHT_ON_BAD = 0.002, 0.3
-
-
-def fit(patterns: dict[tuple[int, ...], int], rounds: int = 200) -> tuple[float, list[tuple[float, float]]]:
+    def at_most(rule: str, value: Column) -> Column:
+        return vote(value <= LIMITS[rule] / 2, value > LIMITS[rule])
+
+    length, lettered = share("word_chars", "n_words"), share("n_lettered", "n_words")
+    low, high = WORD_LENGTH
+    ended = share("n_ended", "n_lines")
+    made = {
+        "symbols": at_most("symbols", share("n_symbols", "n_words")),
+        "symbol_kinds": at_most("symbol_kinds", F.col("_n_kinds")),
+        "wordless": at_most("wordless", share("n_wordless", "n_words")),
+        "lettered": vote(lettered >= (1 + LETTERED) / 2, lettered < LETTERED),
+        "marks": at_most("marks", share("n_marks", "n_words")),
+        "word_length": vote(length.between(low + (high - low) / 8, high - (high - low) / 8), (length < low) | (length > high)),
+        "repetition": at_most("repetition", share("n_repeat_words", "n_words")),
+        "dup_lines": F.when(several, at_most("dup_lines", share("n_dup_lines", "n_lines"))).otherwise(0),
+        "capitals": at_most("capitals", share("n_upper", "word_chars")),
+        "digits": at_most("digits", share("n_digits", "word_chars")),
+        "ended": vote(ended >= 2 * ENDED, ended < ENDED),
+        "short_lines": F.when(several, at_most("short_lines", share("n_short", "n_lines"))).otherwise(0),
+    }
+    return [made[r].cast("int") for r in RULES]
+
+
+def fit(patterns: dict[tuple[int, ...], int], rounds: int = 500, prior: float = 4.0) -> tuple[float, list[tuple[float, float]]]:
     """Expectation-maximisation over counted vote patterns.
 
-    Returns the prior log-odds of a good document, and for each rule the
-    log-odds that its good and its bad vote add; an abstention adds nothing.
-    Starts from: bad if any rule votes bad.  Rates have Beta priors.  The one for
-    good documents is worth four times the documents: rules are written to vote
-    bad on two good documents in a thousand, and a fault that comes alone, which
-    no other rule can confirm, must not pass for a property of good ones.  The
-    one for bad documents is worth a twentieth.  A good vote never counts
-    against a document, nor a bad one for it, and most documents are taken to be
-    good, so a document without a bad vote stays in every corpus.  The share of good
-    ones counts as 95 percent at most, so a rare fault weighs like a common one.
+    Returns the log-odds of a good document before any vote, and for each rule the
+    log-odds that its good and its bad vote add; an abstention adds nothing.  The
+    model: a document is good or bad, and then rules vote independently, each with
+    a rate of bad votes of its own in either class, all estimated from how votes
+    agree.  Starts from the share of good votes in each pattern.  Every rate and the
+    share of good documents have a prior worth ``prior`` documents (a rule is wrong
+    on one good document in ten and right on every other bad one; nine in ten
+    documents are good), so that nothing is a certainty; the data outweighs it
+    everywhere but in tiny corpora.  A rule that fires on documents that the others
+    find good loses its weight, and may gain one of the other sign.  The class that
+    has the smaller share of bad votes is called good.
     """
-    total = sum(patterns.values())
     n_rules = len(next(iter(patterns), RULES))
-    odds, weights = 0.0, [(0.0, 0.0)] * n_rules
-    if not total:
-        return odds, weights
-    posterior = {p: 0.02 if -1 in p else 0.98 for p in patterns}
-    extra, trust = max(1.0, total / 20), 4.0 * total
+    if not patterns:
+        return 0.0, [(0.0, 0.0)] * n_rules
+    votes, n = np.array([*patterns], dtype=np.int8), np.array([*patterns.values()], dtype=np.float64)
+    order = np.lexsort(votes.T)  # sums do not depend on the order of the patterns
+    votes, n = votes[order], n[order]
+    good, bad = (votes == 1).astype(np.float64), (votes == -1).astype(np.float64)
+    p = (good.sum(1) + 1) / (good.sum(1) + bad.sum(1) + 2)
     for _ in range(rounds):
-        new = []
-        for r in range(n_rules):
-            on_good, on_bad = dict.fromkeys((-1, 0, 1), 0.0), dict.fromkeys((-1, 0, 1), 0.0)
-            for p, n in patterns.items():
-                on_good[p[r]] += n * posterior[p]
-                on_bad[p[r]] += n * (1 - posterior[p])
-            wrong = (on_good[-1] + WRONG_ON_GOOD * trust) / (on_good[-1] + on_good[1] + trust)
-            right = (on_bad[-1] + RIGHT_ON_BAD * extra) / (on_bad[-1] + on_bad[1] + extra)
-            new.append((max(0.0, math.log((1 - wrong) / (1 - right))), min(0.0, math.log(wrong / right))))
-        good = sum(n * posterior[p] for p, n in patterns.items())
-        share = min(0.95, max(0.5, (good + 0.9 * extra) / (total + extra)))
-        odds = math.log(share / (1 - share))
-        moved = max(abs(a - b) for x, y in zip(new, weights, strict=True) for a, b in zip(x, y, strict=True))
-        weights = new
-        for p in patterns:
-            z = odds + sum(w[0] if v == 1 else w[1] if v == -1 else 0.0 for v, w in zip(p, weights, strict=True))
-            posterior[p] = 1 / (1 + math.exp(-max(-50.0, min(50.0, z))))
+        rate = []
+        for weight, expected in ((n * p, 0.1), (n * (1 - p), 0.5)):
+            rate.append((weight @ bad + prior * expected) / (weight @ bad + weight @ good + prior))
+        share = ((n * p).sum() + 0.9 * prior) / (n.sum() + prior)
+        odds = float(np.log(share / (1 - share)))
+        up, down = np.log((1 - rate[0]) / (1 - rate[1])), np.log(rate[0] / rate[1])
+        new = 1 / (1 + np.exp(-np.clip(odds + good @ up + bad @ down, -500, 500)))
+        moved, p = float(np.abs(new - p).max()), new
         if moved < 1e-9:
             break
-    return odds, weights
+    if (n * p) @ bad.sum(1) / max((n * p).sum(), 1e-9) > (n * (1 - p)) @ bad.sum(1) / max((n * (1 - p)).sum(), 1e-9):
+        odds, up, down = -odds, -up, -down
+    return odds, [(float(a), float(b)) for a, b in zip(up, down, strict=True)]
 
 
 def judge(docs: DataFrame, keep_at: float = 0.5, carry: list[str] | None = None, text_col: str = "text") -> DataFrame:
@@ -147,11 +171,11 @@ def judge(docs: DataFrame, keep_at: float = 0.5, carry: list[str] | None = None,
     _-prefixed features, ``_base_failed``, ``_posterior`` and ``_kept``."""
     made = with_features(docs, docs.columns if carry is None else carry, text_col)
     made = written(made, "quality-features", "zstd")
-    rules = [v.alias(r) for v, r in zip(votes(), RULES, strict=True)]
-    # Documents that fail the base are out anyway; left in, their faults, which come
-    # together, would be all that "bad" means.
-    counted = made.where(~base_failed()).select(*rules).groupBy(*RULES).count().collect()  # 3**5 rows at most
-    odds, weights = fit({tuple(row[r] for r in RULES): row["count"] for row in counted})
+    # One number a pattern: 3**12 of them at most, whatever the input's size.  Documents that
+    # fail the base are out anyway, and have no part in what is learned.
+    code = sum(((v + 1) * 3**k for k, v in enumerate(votes())), F.lit(0))
+    counted = made.where(~base_failed()).groupBy(code.alias("code")).count().collect()
+    odds, weights = fit({tuple(r["code"] // 3**k % 3 - 1 for k in range(len(RULES))): r["count"] for r in counted})
     z = F.lit(odds)
     for vote, (good, bad) in zip(votes(), weights, strict=True):
         z = z + F.when(vote == 1, good).when(vote == -1, bad).otherwise(0.0)

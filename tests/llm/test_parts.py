@@ -217,17 +217,96 @@ def test_boosting_learns_an_interaction():
     assert _boosting.boost({}) == []
 
 
-def test_expectation_maximisation_keeps_what_no_rule_faults():
-    rng = random.Random(1)
-    for bad_share in (0.0, 0.01, 0.1, 0.3):
-        patterns = {}
-        for _ in range(3000):
-            votes = [rng.choice([1, 1, 1, 0]) for _ in quality_rules.RULES]
-            if rng.random() < bad_share:
-                votes[rng.randrange(3)] = -1
-            patterns[tuple(votes)] = patterns.get(tuple(votes), 0) + 1
-        odds, weights = quality_rules.fit(patterns)
+def plain_em(patterns, rounds, prior=4.0):
+    """Posterior of each pattern, by sums over single documents."""
+    docs = [p for p, n in sorted(patterns.items()) for _ in range(n)]
+    start = {p: (p.count(1) + 1) / (len(p) - p.count(0) + 2) for p in patterns}
+    now = dict(start)
+    for _ in range(rounds):
+        rate = {}
+        for c, expected in (("good", 0.1), ("bad", 0.5)):
+            weight = {p: now[p] if c == "good" else 1 - now[p] for p in patterns}
+            for r in range(len(docs[0])):
+                down = sum(weight[p] for p in docs if p[r] == -1)
+                up = sum(weight[p] for p in docs if p[r] == 1)
+                rate[c, r] = (down + prior * expected) / (down + up + prior)
+        share = (sum(now[p] for p in docs) + 0.9 * prior) / (len(docs) + prior)
         for p in patterns:
-            z = odds + sum(w[0] if v == 1 else w[1] if v == -1 else 0 for v, w in zip(p, weights, strict=True))
-            assert (z >= 0) == (-1 not in p), (bad_share, p, z)
+            like = {"good": share, "bad": 1 - share}
+            for c in like:
+                for r, v in enumerate(p):
+                    like[c] *= {1: 1 - rate[c, r], -1: rate[c, r], 0: 1.0}[v]
+            now[p] = like["good"] / (like["good"] + like["bad"])
+    return now
+
+
+def posterior(fitted, p):
+    odds, weights = fitted
+    z = odds + sum(w[0] if v == 1 else w[1] if v == -1 else 0 for v, w in zip(p, weights, strict=True))
+    return 1 / (1 + np.exp(-z))
+
+
+def voted(rng, n, rules=6, noisy=0, bad_share=0.2):
+    """Patterns of rules that are wrong on one in twenty, but for the last ``noisy`` ones, which toss a coin."""
+    patterns, truth = {}, {}
+    for _ in range(n):
+        good = rng.random() > bad_share
+        right = [rng.random() < (0.5 if r >= rules - noisy else 0.95) for r in range(rules)]
+        p = tuple(0 if rng.random() < 0.1 else 1 if good == ok else -1 for ok in right)
+        patterns[p] = patterns.get(p, 0) + 1
+        truth.setdefault(p, []).append(good)
+    return patterns, truth
+
+
+def test_expectation_maximisation_equals_a_plain_one():
+    for seed in range(3):
+        patterns, _ = voted(random.Random(seed), 300, noisy=seed)
+        for rounds in (1, 5, 40):
+            fitted, wanted = quality_rules.fit(patterns, rounds), plain_em(patterns, rounds)
+            assert all(posterior(fitted, p) == pytest.approx(wanted[p], abs=1e-9) for p in patterns)
     assert quality_rules.fit({}) == (0.0, [(0.0, 0.0)] * len(quality_rules.RULES))
+
+
+def test_a_noisy_rule_loses_its_weight_and_good_documents_stay():
+    patterns, truth = voted(random.Random(5), 6000, noisy=1)
+    fitted = quality_rules.fit(patterns)
+    weights = [abs(a) + abs(b) for a, b in fitted[1]]
+    assert weights[-1] < 0.1 * min(weights[:-1])
+    kept = {p: posterior(fitted, p) >= 0.5 for p in patterns}
+    right = sum(kept[p] == g for p, gs in truth.items() for g in gs)
+    assert right > 0.97 * 6000
+    # The verdict is neither "no bad vote" nor "no good one".
+    assert sum(n for p, n in patterns.items() if kept[p] and -1 in p) > 1000
+    assert any(kept[p] for p in patterns if p[-1] == -1) and not any(kept[p] for p in patterns if p.count(-1) > 4)
+
+
+def test_verdict_is_that_of_a_plain_em_over_the_votes(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    made = quality_rules.judge(docs, carry=["doc_id"])
+    named = [v.alias(r) for v, r in zip(quality_rules.votes(), quality_rules.RULES, strict=True)]
+    rows = made.select("_kept", "_posterior", "_base_failed", *named).collect()
+    patterns = {}
+    for r in rows:
+        if not r._base_failed:
+            patterns[tuple(r)[3:]] = patterns.get(tuple(r)[3:], 0) + 1
+    wanted = plain_em(patterns, 60)
+    for r in rows:
+        assert r._kept == (not r._base_failed and r._posterior >= 0.5)
+        if not r._base_failed:
+            assert r._posterior == pytest.approx(wanted[tuple(r)[3:]], abs=1e-4)
+    assert any(r._kept and -1 in tuple(r)[3:] for r in rows) and any(not r._kept and not r._base_failed for r in rows)
+
+
+def test_votes(spark):
+    good = "The old river ran past seven quiet farms before noon."
+    cases = {
+        "symbols": good * 3 + " # $ & * | < > %", "symbol_kinds": good * 30 + " # $ & * |", "wordless": good * 2 + " -- -- -- --", "lettered": good + " 1 2 3 4 5 6 7 8",
+        "marks": good + " what!? no!?", "word_length": "a b c d e f g h i.", "repetition": "one two three four. " * 9, "dup_lines": (good + "\n") * 3, "capitals": good.upper(),
+        "digits": good + " 1234567890 1234567890 1234567890", "ended": good[:-1], "short_lines": "one two three.\nfour five six.\nseven eight nine.",
+    }
+    docs = spark.createDataFrame([(k, t) for k, t in cases.items()] + [("none", good + "\nNobody there had ever seen such weather in late autumn.")], "name string, text string")
+    made = quality_rules.with_features(docs, ["name"])
+    got = {r.name: dict(zip(quality_rules.RULES, tuple(r)[1:], strict=True)) for r in made.select("row.name", *quality_rules.votes()).collect()}
+    assert [*cases] == quality_rules.RULES
+    assert [r for r in cases if got[r][r] != -1] == []
+    assert -1 not in got["none"].values()
