@@ -1,16 +1,21 @@
 """Content-addressed ledgers: do the work once per distinct (content, version).
 
-A ledger is a Parquet table keyed by (version, digest).  A run
+A ledger is a Parquet table keyed by (version, digest), in a folder for each
+version.  A run
 
 1. digests every row's content (SHA-256 of the text, null as empty),
-2. anti-joins the distinct digests to the ledger,
-3. picks one row for each unseen digest and works on that row alone, and
+2. anti-joins the distinct digests to the ledger's entries of this version,
+3. takes one text for each unseen digest and works on that alone, and
 4. appends the results to the ledger in one committed write.
 
-Copies of one text have one digest.  The row that stands for a digest is looked
-up by (digest, id), so a group of copies that holds a third of all rows spreads
-over the shuffle instead of meeting in one task.  A run that dies before its
-append has committed leaves the ledger as it was and is simply run again.
+Texts of known digests are filtered out where they are read: the unseen digests
+are broadcast if there are at most ``BROADCAST`` of them (32 bytes each, counted
+first), and without any no text is read.  With more, all texts take part in the
+aggregation that the join then cuts down.  Copies of one text, repeated rows and
+rows without an id have one digest; each task keeps one text of a digest before the
+shuffle, so a group of copies that holds a third of all rows costs one text a task.
+A run that dies before its append has committed leaves the ledger as it was and is
+simply run again.
 """
 
 from __future__ import annotations
@@ -23,6 +28,7 @@ from pyspark.sql import types as T
 
 from ._common import path_exists, written
 
+BROADCAST = 250_000
 KEY_FIELDS = [T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType())]
 
 
@@ -48,7 +54,7 @@ def through_ledger(
 ) -> tuple[DataFrame, DataFrame]:
     """Bring the ledger at ``path`` up to date for ``docs``.
 
-    ``work`` maps (digest, text) to (digest, payload...), one row each.  Returns
+    ``work`` maps (digest, text), one row a digest, to (digest, payload...), one row each.  Returns
     (rows, entries): rows has id, digest and n_bytes of every row of ``docs``;
     entries has one row for each distinct digest among them.
     """
@@ -59,18 +65,20 @@ def through_ledger(
     rows = written(base.select("_id", "digest", F.octet_length("_text").cast("long").alias("n_bytes")), "ledger-rows")
 
     known = read_ledger(spark, path, schema, version)
-    stands = rows.groupBy("digest").agg(F.min("_id").alias("_rep"))
-    unseen = written(stands.join(known.select("digest"), "digest", "left_anti"), "ledger-unseen")
-
-    # (digest, id) spreads copies; null ids meet null representatives.
-    left, right = base.alias("b"), unseen.hint("shuffle_hash").alias("u")
-    chosen = left.join(right, (F.col("b.digest") == F.col("u.digest")) & F.col("b._id").eqNullSafe(F.col("u._rep")), "left_semi")
-    done = work(chosen.select("digest", F.col("_text").alias("text")))
-    # Repeated rows with one id and one text each stand for their digest.
+    seen = rows.select("digest").distinct()
+    unseen = written(seen.join(known.select("digest"), "digest", "left_anti"), "ledger-unseen")
+    n = len(unseen.select(F.lit(1)).limit(BROADCAST + 1).collect())
+
+    # A hint on the many: their hashes are built of digests, not of texts.
+    wanted = F.broadcast(unseen) if n <= BROADCAST else unseen.hint("shuffle_hash")
+    texts = base.select("digest", F.col("_text").alias("text"))
+    one = lambda df: df.groupBy("digest").agg(F.first("text").alias("text"))
+    chosen = one(texts.join(wanted, "digest", "left_semi")) if n <= BROADCAST else one(texts).join(wanted, "digest", "left_semi")
     names = [f.name for f in payload]
-    done = done.groupBy("digest").agg(*(F.first(n).alias(n) for n in names))
-    done.select(F.lit(version).alias("version"), "digest", *names).write.mode("append").option("compression", "zstd").parquet(path)
+    if n:
+        done = work(chosen).select("digest", *names, F.lit(version).alias("version"))
+        done.write.mode("append").partitionBy("version").option("compression", "zstd").parquet(path)
 
-    now = read_ledger(spark, path, schema, version).join(stands.select("digest"), "digest", "left_semi")
+    now = read_ledger(spark, path, schema, version).join(seen, "digest", "left_semi")
     entries = now.groupBy("digest").agg(*(F.first(n).alias(n) for n in names))
     return rows, written(entries, "ledger-entries")

@@ -5,9 +5,10 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tamarack.llm import _boosting, pii, quality_rules, secrets, simhash, token_counts
+from tamarack.llm import _boosting, _ledger, pii, quality_rules, secrets, simhash, token_counts
 from tamarack.llm._components import components
 from tamarack.llm._ledger import read_ledger
 from tamarack.llm._spans import filter_near, masked, matches
@@ -123,6 +124,52 @@ def test_cache_encodes_distinct_misses_once(spark, tmp_path):
     assert spark.read.parquet(at).count() == 8
 
 
+def repeated_rows(spark):
+    rows = [(None, "same text without an id")] * 50 + [(7, "the same row again")] * 40 + [(i, f"text {i % 3}") for i in range(30)]
+    return spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+
+
+@pytest.mark.parametrize("most", [250_000, 2])
+def test_each_unseen_text_is_handed_over_once(spark, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(_ledger, "BROADCAST", most)
+    at, seen = str(tmp_path / "ledger"), []
+
+    def work(chosen):
+        seen.append(sorted(r.text for r in chosen.collect()))
+        return chosen.select("digest", F.length("text").alias("n"))
+
+    run = lambda docs: _ledger.through_ledger(docs, at, "v1", work, [T.StructField("n", T.IntegerType())])
+    docs = repeated_rows(spark)
+    rows, entries = run(docs)
+    assert seen == [["same text without an id", "text 0", "text 1", "text 2", "the same row again"]]
+    assert rows.count() == 120 and entries.count() == 5
+    run(docs)
+    assert len(seen) == 1  # all known: no text is looked at
+    rows, entries = run(docs.union(spark.createDataFrame([(1, "new"), (2, "new"), (None, None)], docs.schema)))
+    assert seen[1:] == [["", "new"]] and rows.count() == 123 and entries.count() == 7
+
+
+def test_a_run_over_known_texts_shuffles_no_text(spark, tmp_path):
+    docs = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(*(F.sha2(F.concat_ws("-", "id", F.lit(k)), 512) for k in range(30))).alias("text"))
+    docs.write.parquet(str(tmp_path / "docs"))
+    docs, at = spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "ledger")
+    tracker = spark.sparkContext._jsc.sc().statusStore()
+
+    def shuffled(f):
+        before = {s.stageId() for s in stages()}
+        f()
+        return sum(s.shuffleWriteBytes() for s in stages() if s.stageId() not in before)
+
+    def stages():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+        found = tracker.stageList(None, False, False, spark.sparkContext._gateway.new_array(spark.sparkContext._jvm.double, 0), None)
+        return [found.apply(k) for k in range(found.size())]
+
+    run = lambda: token_counts.count_tokens(docs, TOKENIZER, at).collect()
+    first, second = shuffled(run), shuffled(run)
+    assert first > 400 * 1000 and second < first / 5
+
+
 def test_ledger_scans_unseen_blobs_only(spark, tmp_path):
     at = str(tmp_path / "ledger")
     docs = spark.createDataFrame([(1, "token=abcdefabcdef00"), (2, "x"), (3, "token=abcdefabcdef00")], "doc_id long, text string")
