@@ -5,20 +5,26 @@ breaks); a sentence of more than ``long_words`` words counts as several, so a
 passage with few full stops has several, too.  It is cut after words whose hash
 is the least of those near them, so a passage is cut alike wherever it stands, and
 ``long_words`` words after a cut if no such word comes before.
-From each sentence starts one span, and at each ends one: the shortest run of at
-least ``run`` sentences with at least ``min_words`` words.  (With the first kind
-alone, a short last sentence of a repeated passage would be in no span.)  Its digest (128 bits of the
-lower-cased words) joins the same span in all documents.  A span's first
-occurrence is the one with the smallest (id, text hash, position); sentences that any
-other occurrence covers are removed.
+A run of sentences is long enough with ``run`` sentences and ``min_words`` words, or
+with ``several`` sentences and ``few_words`` words.  From each sentence starts one
+span, and at each ends one: the shortest run that is long enough.  That does what
+hashing every run would: each sentence of a repeated run that is long enough lies in
+a span inside the run (in the one that starts with it or, if that would reach beyond
+the run, in the one that ends where the run does).  A span's digest (128 bits of the
+lower-cased words) joins the same span in all documents.  Its first occurrence is the
+one with the smallest (id, text hash, position); sentences that any other occurrence
+covers are removed.
 
 Spans of one digest are pre-aggregated before the shuffle, and the join back is
 one that adaptive execution can split, so a passage that a third of all rows
 share does not meet in one task.
 
+Texts are cut once; only those that lose a sentence are cut again.
+
 Edge cases: null texts stay null; empty and blank texts are as they were;
 repeated rows (one id, one text) are one place and stay alike; null ids come last;
-a text shorter than a span has none; other columns are not read.
+a text shorter than a span has none; very long texts are cut whole, with spans that
+grow with their sentences; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -79,34 +85,48 @@ def sentences(text: str | None, long_words: int) -> list[tuple[int, int]]:
     return found
 
 
-def spans(text: str | None, run: int, min_words: int, long_words: int) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
-    """Sentences, and (first sentence, sentences, digest) of each span."""
+def spans(
+    text: str | None, run: int, min_words: int, long_words: int, several: int = 0, few_words: int = 0
+) -> tuple[list[tuple[int, int]], list[tuple[int, int, bytes]]]:
+    """Sentences, and (first sentence, sentences, digest) of each span; ``several`` 0: no runs of the second kind."""
     cut = sentences(text, long_words)
-    words = [text[a:b].lower().split() for a, b in cut]
-    flat, size = [" ".join(w) for w in words], [len(w) for w in words]
-    places, end, have = [], 0, 0
+    flat = [" ".join(text[a:b].lower().split()) for a, b in cut]
+    upto = [0]
+    for f in flat:
+        upto.append(upto[-1] + f.count(" ") + 1)
+
+    def enough(a: int, b: int) -> bool:
+        n, words = b - a, upto[b] - upto[a]
+        return (n >= run and words >= min_words) or (0 < several <= n and words >= few_words)
+
+    places, end = [], 0
     for k in range(len(cut)):
-        while end < len(cut) and (end - k < run or have < min_words):
-            have += size[end]
+        while end <= len(cut) and not (end > k and enough(k, end)):
             end += 1
-        if end - k < run or have < min_words:
+        if end > len(cut):
             break
         places.append((k, end))
-        have -= size[k]
-    first, have = 0, 0
-    for end in range(run, len(cut) + 1):
-        have += size[end - 1] if end > run else sum(size[:end])
-        while end - first > run and have - size[first] >= min_words:
-            have -= size[first]
+    first = 0
+    for end in range(1, len(cut) + 1):
+        if not enough(first, end):
+            continue
+        while enough(first + 1, end):
             first += 1
         # If the run is long enough without its last sentence, no span starts and ends like it.
-        if have >= min_words and end - first > run and have - size[end - 1] >= min_words:
+        if enough(first, end - 1):
             places.append((first, end))
     return cut, [(a, b - a, hashlib.blake2b(" ".join(flat[a:b]).encode(), digest_size=16).digest()) for a, b in places]
 
 
 def remove_repeats(
-    docs: DataFrame, run: int = 2, min_words: int = 25, long_words: int = 20, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    run: int = 2,
+    min_words: int = 25,
+    long_words: int = 20,
+    several: int = 3,
+    few_words: int = 12,
+    id_col: str = "doc_id",
+    text_col: str = "text",
 ) -> DataFrame:
     """(id, text, n_sentences, n_removed, removed): ``text`` without removed
     sentences, ``removed`` their character spans in the old text, as start:end."""
@@ -117,7 +137,9 @@ def remove_repeats(
         for b in batches:
             out: list[list] = [[], [], [], [], []]
             for doc_id, text, key in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_key")), strict=True):
-                for first, n, digest in spans(text, run, min_words, long_words)[1]:
+                cut, found = spans(text, run, min_words, long_words, several, few_words)
+                # Without a digest: the text's number of sentences.
+                for first, n, digest in [(len(cut), 0, None), *found]:
                     for k, x in enumerate((doc_id, key, first, n, digest)):
                         out[k].append(x)
                 if len(out[0]) >= 50_000:
@@ -133,25 +155,29 @@ def remove_repeats(
     keyed = rows.withColumn("_key", F.xxhash64("_text"))
     made = written(keyed.mapInArrow(cut, f"_id {kind}, _key long, first int, n int, digest binary"), "spans")
     place = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("a"), F.col("_key").alias("b"), F.col("first").alias("c"))
-    repeated = made.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("p")).where("times > 1")
+    found = made.where(F.col("digest").isNotNull())
+    repeated = found.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("p")).where("times > 1")
     repeated = written(repeated.select("digest", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.c").alias("c")), "spans-repeated")
     same = F.col("_id").eqNullSafe(F.col("a")) & (F.col("_key") == F.col("b")) & (F.col("first") == F.col("c"))
-    later = written(made.join(repeated, "digest").where(~same).select("_id", "_key", "first", "n"), "spans-later")
-    gone = later.groupBy("_id", "_key").agg(F.collect_set(F.struct("first", "n")).alias("spans"))
-    gone = gone.withColumnsRenamed({"_id": "_gid", "_key": "_gkey"})
+    later = written(found.join(repeated, "digest").where(~same).select("_id", "_key", "first", "n"), "spans-later")
+    every = later.union(made.where(F.col("digest").isNull()).select("_id", "_key", "first", "n"))
+    is_span = F.col("n") > 0
+    gone = every.groupBy(F.col("_id").alias("_gid"), F.col("_key").alias("_gkey")).agg(
+        F.max(F.when(~is_span, F.col("first"))).alias("cut"), F.collect_set(F.when(is_span, F.struct("first", "n"))).alias("spans")
+    )
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text, found in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "spans")), strict=True):
-                row = (doc_id, *without(text, found or [], long_words))
+            for doc_id, text, n, found in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "cut", "spans")), strict=True):
+                row = (doc_id, *without(text, found, long_words)) if found else (doc_id, text, n, 0, "")
                 for k, x in enumerate(row):
                     out[k].append(x)
             kinds = [b.schema.field("_id").type, pa.string(), pa.int64(), pa.int64(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, kinds, strict=True)], ["_id", "text", "n_sentences", "n_removed", "removed"])
 
     on = F.col("_id").eqNullSafe(F.col("_gid")) & (F.col("_key") == F.col("_gkey"))
-    joined = keyed.join(gone.hint("shuffle_hash"), on, "left").select("_id", "_text", "spans")
+    joined = keyed.join(gone.hint("shuffle_hash"), on, "left").select("_id", "_text", "cut", "spans")
     result = joined.mapInArrow(drop, f"_id {kind}, text string, n_sentences long, n_removed long, removed string")
     return result.withColumnRenamed("_id", id_col)
 

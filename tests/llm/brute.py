@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
 import xxhash
 
@@ -99,3 +100,51 @@ def spans(text, rules, by_start: bool) -> tuple:
     found.sort(key=lambda x: (x[0], x[1]) if by_start else (x[1], x[0]))
     counts = tuple(sum(f[1] == k for f in found) for k in range(len(rules)))
     return counts, [f"{kind}:{s}:{e}" for s, _, e, kind in found]
+
+
+def sentence_places(text, most: int = 20) -> list[tuple[int, int]]:
+    """Character spans of sentences, those of more than ``most`` words cut where a word's hash is least."""
+    found, at = [], 0
+    text = text or ""
+    for m in [*re.finditer(r"(?<=[.!?])[^\S\n]+|\n+", text), None]:
+        stop, after = (m.start(), m.end()) if m else (len(text), len(text))
+        words = [w.span() for w in re.finditer(r"\S+", text[at:stop])]
+        words = [(at + a, at + b) for a, b in words]
+        if len(words) <= most:
+            cuts = [len(words)]
+        else:
+            low = [text[a:b].lower() for a, b in words]
+            h = [zlib.crc32((low[k - 1] + " " + low[k] if k else " " + low[0]).encode()) for k in range(len(low))]
+            cuts, last = [], 0
+            for k in range(len(words)):
+                around = [h[j] for j in range(k - 4, k + 5) if j != k] if 4 <= k < len(words) - 4 else [0]
+                if h[k] < min(around) or k + 1 - last == most:
+                    cuts.append(k + 1)
+                    last = k + 1
+            cuts += [len(words)] if last < len(words) else []
+        start = 0
+        for c in cuts:
+            if c > start:
+                found.append((words[start][0], words[c - 1][1]))
+            start = c
+        at = after
+    return found
+
+
+def repeated_sentences(rows: list[tuple], order: dict, cut_alike: bool) -> dict:
+    """{(id, text): numbers of sentences that a later occurrence of any run covers}.  Runs: two sentences
+    with 25 words, or three with 12; all up to 15 sentences, as longer ones are made of those.
+    ``cut_alike``: the same words must be cut into sentences alike to be the same run."""
+    places, gone = defaultdict(list), defaultdict(set)
+    for i, t in {*rows}:
+        words = [" ".join(t[a:b].lower().split()) for a, b in sentence_places(t)]
+        size = [len(w.split()) for w in words]
+        for a in range(len(words)):
+            for b in range(a + 2, min(len(words), a + 15) + 1):
+                n = sum(size[a:b])
+                if n >= 25 or (b - a >= 3 and n >= 12):
+                    places[" ".join(words[a:b]), tuple(size[a:b]) * cut_alike].append((i is None, i or 0, order[t], a, b, i, t))
+    for p in places.values():
+        for *_, a, b, i, t in sorted(p, key=lambda x: x[:4])[1:]:
+            gone[i, t].update(range(a, b))
+    return gone

@@ -11,7 +11,7 @@ import pandas as pd
 import pytest
 from tokenizers import Tokenizer
 
-from tamarack.llm import queries, substring_dedup
+from tamarack.llm import queries
 from tamarack.llm.queries import QUERIES, TOKENIZER
 
 SMALL = "/root/testdata/sf0.001"
@@ -121,25 +121,21 @@ def test_decontamination(spark, folder, rows):
 def test_substring_dedup(spark, folder, rows):
     got = result(spark, folder, "op3_substring_dedup")
     assert len(got) == len(rows)
-    seen: dict = {}
-    for i, t in sorted({*rows}, key=lambda r: (r[0] is None, r[0] or 0)):
-        for first, n, digest in substring_dedup.spans(t, 2, 25, 20)[1]:
-            seen.setdefault(digest, []).append((i is None, i, t, first, n))
     from pyspark.sql import functions as F
 
     texts = sorted({t for _, t in rows if t is not None})
     key = dict(spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t")).collect()) | {None: 42}
-    gone = defaultdict(set)
-    for places in seen.values():
-        places.sort(key=lambda p: (p[0], p[1] or 0, key[p[2]], p[3]))
-        for _, i, t, first, n in places[1:]:
-            gone[i, t].update(range(first, first + n))
-    wanted = []
+    same(got, ["doc_id", "n_sentences"], [(i, len(brute.sentence_places(t))) for i, t in rows])
+    must, may = (brute.repeated_sentences(rows, key, alike) for alike in (True, False))
+    whole = {(r["doc_id"], r["n_sentences"], r["removed"], r["text"]) for r in got}
     for i, t in rows:
-        cut = substring_dedup.sentences(t, 20)
-        removed = sorted(gone[i, t])
-        wanted.append((i, len(cut), len(removed), ",".join(f"{cut[k][0]}:{cut[k][1]}" for k in removed)))
-    same(got, ["doc_id", "n_sentences", "n_removed", "removed"], wanted)
+        cut = brute.sentence_places(t)
+        mine = [r for d, n, r, x in whole if d == i and n == len(cut) and (r or x == t)]
+        places = {f"{a}:{b}": k for k, (a, b) in enumerate(cut)}
+        found = [{places[p] for p in r.split(",") if p} for r in mine if all(p in places for p in r.split(",") if p)]
+        assert any(must[i, t] <= f <= may[i, t] for f in found), (i, must[i, t], found, may[i, t])
+    assert sum(map(len, must.values())) >= 0.95 * sum(map(len, may.values()))
+    assert all(r["n_removed"] == len([p for p in r["removed"].split(",") if p]) for r in got)
     assert any(r["n_removed"] for r in got)
     assert all(r["n_removed"] or (r["doc_id"], r["text"]) in rows for r in got)
 

@@ -77,3 +77,30 @@ def test_passage_at_any_offset_of_an_unpunctuated_text_goes(spark):
         kept = f" {got[2 * k + 1].text} "
         assert not any(f" {' '.join(p[i : i + 51])} " in kept for i in range(len(p) - 50))
         assert got[2 * k + 1].n_removed > 1
+
+
+def test_three_short_sentences_are_a_run_and_single_lines_are_not(spark):
+    rng = random.Random(12)
+    short, two = " ".join(sentence(rng, 8) for _ in range(3)), " ".join(sentence(rng, 8) for _ in range(2))
+    rows = [(k, " ".join([sentence(rng, 9), p, sentence(rng, 7)])) for k, p in enumerate([short, short, two, two])]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[k].n_removed for k in range(4)] == [0, 3, 0, 0]
+    assert short not in got[1].text and got[2].text == rows[2][1]
+
+
+def test_recall_of_passages_over_offsets(spark):
+    """Passages of 60 to 90 words at every offset up to 39 of texts with and without full stops."""
+    rng, rows, passages = random.Random(21), [], []
+    for k in range(80):
+        stops = k % 2
+        body = lambda n: " ".join(sentence(rng, min(n, 14)) for _ in range(max(1, n // 14))) if stops else sentence(rng, n)[:-1].lower()
+        p = body(rng.randint(60, 90))
+        passages.append(p)
+        rows += [(2 * k, f"{body(30)} {p} {body(30)}"), (2 * k + 1, f"{body(k // 2 + 1)} {p} {body(25)}")]
+    got = {r.doc_id: r for r in remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = [sum(w in got[2 * k + 1].text.split() for w in p.split()) for k, p in enumerate(passages)]
+    words = sum(len(p.split()) for p in passages)
+    share = 1 - sum(kept) / words
+    print("words of repeated passages removed", share)
+    assert share >= 0.8 and all(n < 51 for n in kept)
+    assert all(got[2 * k].n_removed == 0 for k in range(80))
