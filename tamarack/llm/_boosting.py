@@ -1,49 +1,39 @@
 """Gradient boosting of depth-two trees, small enough to become a Column.
 
-Training is plain Python over distinct feature rows with counts; a model is a
+Training is NumPy over distinct feature rows with counts; a model is a
 list of trees, which ``as_column`` turns into nested CASE expressions.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 Row = tuple[int, ...]
 
 
-def _split(rows: list[tuple[Row, float, float]]) -> tuple[float, int, int] | None:
-    """(gain, feature, threshold) of the best split of (x, gradient, weight)."""
+def _split(x: np.ndarray, g: np.ndarray, h: np.ndarray) -> tuple[float, int, int] | None:
+    """(gain, feature, threshold) of the best split of rows with gradients and weights."""
     best = None
-    total_g, total_h = sum(r[1] for r in rows), sum(r[2] for r in rows)
     fit = lambda g, h: g * g / (h + 1.0)
-    for f in range(len(rows[0][0]) if rows else 0):
-        sums: dict[int, list[float]] = {}
-        for x, g, h in rows:
-            s = sums.setdefault(x[f], [0.0, 0.0])
-            s[0] += g
-            s[1] += h
-        g = h = 0.0
-        for value in sorted(sums)[:-1]:
-            g, h = g + sums[value][0], h + sums[value][1]
-            gain = fit(g, h) + fit(total_g - g, total_h - h) - fit(total_g, total_h)
-            if best is None or gain > best[0] + 1e-12:
-                best = (gain, f, value)
+    for f in range(x.shape[1] if len(x) else 0):
+        low = x[:, f].min()
+        sums = [np.cumsum(np.bincount(x[:, f] - low, weights=w)) for w in (g, h)]
+        here, there = (fit(s[0], s[1]) for s in (sums, [s[-1] - s for s in sums]))
+        gain = (here + there - fit(sums[0][-1], sums[1][-1]))[:-1]
+        if len(gain) and (best is None or gain.max() > best[0] + 1e-12):
+            best = (float(gain.max()), f, int(low + gain.argmax()))
     return best if best and best[0] > 1e-6 else None
 
 
-def _leaf(rows: list[tuple[Row, float, float]], rate: float) -> float:
-    return rate * sum(r[1] for r in rows) / (sum(r[2] for r in rows) + 1.0)
-
-
-def _tree(rows: list[tuple[Row, float, float]], depth: int, rate: float):
-    cut = _split(rows) if depth else None
+def _tree(x: np.ndarray, g: np.ndarray, h: np.ndarray, depth: int, rate: float):
+    cut = _split(x, g, h) if depth else None
     if cut is None:
-        return _leaf(rows, rate)
+        return float(rate * g.sum() / (h.sum() + 1.0))
     _, f, at = cut
-    return (f, at, _tree([r for r in rows if r[0][f] <= at], depth - 1, rate), _tree([r for r in rows if r[0][f] > at], depth - 1, rate))
+    left = x[:, f] <= at
+    return (f, at, _tree(x[left], g[left], h[left], depth - 1, rate), _tree(x[~left], g[~left], h[~left], depth - 1, rate))
 
 
 def value(tree, x: Row) -> float:
@@ -54,18 +44,19 @@ def value(tree, x: Row) -> float:
 
 def boost(counts: dict[Row, tuple[int, int]], rounds: int = 24, depth: int = 2, rate: float = 0.4) -> list:
     """Trees for log-odds of the second class; ``counts``: (negatives, positives) of each row."""
-    trees, score = [], dict.fromkeys(counts, 0.0)
+    trees: list = []
+    if not counts:
+        return trees
+    rows = sorted(counts)
+    x, n = np.array(rows, dtype=np.int64), np.array([counts[r] for r in rows], dtype=np.float64)
+    score = np.zeros(len(rows))
     for _ in range(rounds):
-        rows = []
-        for x, (neg, pos) in sorted(counts.items()):
-            p = 1 / (1 + math.exp(-score[x]))
-            rows.append((x, pos - (neg + pos) * p, (neg + pos) * p * (1 - p)))
-        tree = _tree(rows, depth, rate)
+        p = 1 / (1 + np.exp(-score))
+        tree = _tree(x, n[:, 1] - n.sum(1) * p, n.sum(1) * p * (1 - p), depth, rate)
         if not isinstance(tree, tuple):
             break
         trees.append(tree)
-        for x in score:
-            score[x] += value(tree, x)
+        score += [value(tree, r) for r in rows]
     return trees
 
 

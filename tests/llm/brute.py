@@ -148,3 +148,41 @@ def repeated_sentences(rows: list[tuple], order: dict, cut_alike: bool) -> dict:
         for *_, a, b, i, t in sorted(p, key=lambda x: x[:4])[1:]:
             gone[i, t].update(range(a, b))
     return gone
+
+
+
+def pii_spans(text, trees, limits) -> list[str]:
+    """All spans by patterns, features, trees and thresholds in plain Python, every pair compared."""
+    import regex
+
+    from tamarack.llm import _boosting, pii
+
+    text = text or ""
+    base = sorted((k, m.start(), m.end(), kind) for k, (kind, p, ok) in enumerate(PII) for m in re.finditer(p, text, re.ASCII) if ok(m))
+    found = []
+    for k, (kind, pattern, _) in enumerate(pii.MORE):
+        for m in regex.finditer(pattern, text):
+            v, near, after = m[0], text[max(0, m.start() - 30) : m.start()], text[m.end() : m.end() + 1]
+            near = regex.sub(pii._SENTENCE, "", near)
+            n = sum("0" <= c <= "9" for c in v)
+            if kind == "number" and not 6 <= n <= 30:
+                continue
+            word = lambda p: int(bool(regex.search(p, near)))  # noqa: E731, B023
+            has = lambda p, where: int(bool(regex.search(p, where)))
+            x = (
+                k, min(n, 40), min(len(v) - n, 40), min(len(regex.split("[^0-9]+", v)), 20),
+                has(r"^\d{3}-\d{2}-\d{4}$", v), has(r"^\(?[0-9]{3}\)?[ .-]?[0-9]{3}[ .-][0-9]{4}$", v), has(f"^{pii._DATE}$", v),
+                word(pii.CALLED), word(pii.NAMED), word(pii.PLACED), word(pii.BORN), word(pii.OTHER),
+                int(near[-1:] != "" and near[-1:] in "$#/_=-." or near[-1:].isascii() and near[-1:].isalnum()),
+                int(after != "" and after in "%/_$#&*" or after.isascii() and after.isalnum()),
+                int(":" in v and any(c in "ABCDEFabcdef" for c in v)), min(sum(has(r"\p{Lu}", c) for c in v), 20),
+                has(r"[(\[{]at[)\]}]| dot ", v), has("^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se\u00f1or|Sra?)", v), has("[.][0-9]+[^0-9]", v),
+            )
+            z = 0.0
+            for t in trees:
+                z += _boosting.value(t, x)
+            if z >= limits[k] and not any(s < m.end() and m.start() < e for _, s, e, _ in base):
+                found.append((z, -m.start(), -m.end(), -(len(PII) + k), kind))
+    best = [a for a in found if not any(-a[1] < -b[2] and -b[1] < -a[2] and b[:4] > a[:4] for b in found)]
+    every = sorted([*base, *((-k, -s, -e, kind) for _, s, e, k, kind in best)])
+    return [f"{kind}:{s}:{e}" for _, s, e, kind in every]

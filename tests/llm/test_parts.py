@@ -255,6 +255,34 @@ def test_pii_beyond_the_base(spark):
     assert masked[2] is None and masked[3] == "plain words only" and "555-1234" not in masked[1] and "12/03/1999" in masked[1]
 
 
+def test_pii_precision_on_hand_written_texts(spark):
+    from pii_cases import CASES
+
+    docs = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "doc_id long, text string")
+    got = {r.doc_id: {CASES[r.doc_id][0][x.s : x.e] for x in r.found} for r in pii.find_pii(docs).collect()}
+    right = sum(len(got[i] & {*want}) for i, (_, want) in enumerate(CASES))
+    taken, there = sum(map(len, got.values())), sum(len(want) for _, want in CASES)
+    print("precision", right / taken, "recall", right / there)
+    assert right >= 0.95 * taken and right >= 0.85 * there
+
+
+def test_all_pii_spans_are_those_of_plain_python(spark):
+    import brute
+    from pii_cases import CASES
+    from test_contracts import ODD
+
+    rng = random.Random(2)
+    made = [f"{a[1]} {b[1]}" for a, b in zip(pii.examples(300, 5), pii.examples(300, 6), strict=True)]
+    mixed = ["".join(rng.choice(["12", "-", ".", " ", "(", ")", "at", "@", "ab", "Dr. ", "Eva ", ":", "/", "\u00e9", "+49", "7 Elm Road", "1999", "born "]) for _ in range(60)) for _ in range(300)]
+    texts = [c[0] for c in CASES] + [" ".join(c[0] for c in CASES)] + ODD + made + mixed
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    trees, limits = pii.trained()
+    got = {r.doc_id: r.spans for r in pii.digests(pii.find_pii(docs)).collect()}
+    wrong = [(i, got[i], w) for i, t in enumerate(texts) if got[i] != (w := ",".join(brute.pii_spans(t, trees, limits)))]
+    assert wrong[:3] == []
+    assert sum("number:" in s or "date:" in s for s in got.values()) > 100
+
+
 def test_boosting_learns_an_interaction():
     counts = {(a, b, c): ((0, 9) if a != b else (9, 0)) for a in (0, 1) for b in (0, 1) for c in (0, 1, 2)}
     counts[0, 1, 0] = (1, 8)
