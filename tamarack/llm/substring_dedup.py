@@ -50,8 +50,8 @@ _NEAR = 4
 def _cuts(words: list[str], long_words: int) -> list[int]:
     """Where the pieces of a long sentence start, and the number of its words."""
     n = len(words)
-    low = [w.lower().encode() for w in words]
-    h = np.array([zlib.crc32(b" ".join(p)) for p in zip([b"", *low], low)], dtype=np.int64)
+    low = " ".join(words).lower().encode().split(b" ")
+    h = np.fromiter((zlib.crc32(w, zlib.crc32(b" ", c)) for c, w in zip(map(zlib.crc32, [b"", *low]), low)), dtype=np.int64, count=n)
     least = np.zeros(n, dtype=bool)
     mid = h[_NEAR : n - _NEAR]
     least[_NEAR : n - _NEAR] = np.all([mid < h[_NEAR + k : n - _NEAR + k] for k in range(-_NEAR, _NEAR + 1) if k], axis=0)
@@ -91,30 +91,37 @@ def spans(
     """Sentences, and (first sentence, sentences, digest) of each span; ``several`` 0: no runs of the second kind."""
     cut = sentences(text, long_words)
     flat = [" ".join(text[a:b].lower().split()) for a, b in cut]
+    n = len(cut)
     upto = [0]
     for f in flat:
         upto.append(upto[-1] + f.count(" ") + 1)
 
-    def enough(a: int, b: int) -> bool:
-        n, words = b - a, upto[b] - upto[a]
-        return (n >= run and words >= min_words) or (0 < several <= n and words >= few_words)
-
-    places, end = [], 0
-    for k in range(len(cut)):
-        while end <= len(cut) and not (end > k and enough(k, end)):
-            end += 1
-        if end > len(cut):
+    # The end of the shortest run from each sentence: of either kind, whichever is sooner.
+    ends, one, two = [], 0, 0
+    for k in range(n):
+        one, wanted = max(one, k + run), upto[k] + min_words
+        while one <= n and upto[one] < wanted:
+            one += 1
+        end = one
+        if several:
+            two, wanted = max(two, k + several), upto[k] + few_words
+            while two <= n and upto[two] < wanted:
+                two += 1
+            end = min(one, two)
+        if end > n:
             break
-        places.append((k, end))
-    first = 0
-    for end in range(1, len(cut) + 1):
-        if not enough(first, end):
-            continue
-        while enough(first + 1, end):
-            first += 1
-        # If the run is long enough without its last sentence, no span starts and ends like it.
-        if enough(first, end - 1):
-            places.append((first, end))
+        ends.append(end)
+    places = list(enumerate(ends))
+    # Runs from k end at ends[k], which never falls: so the shortest run that ends at ``end``
+    # starts with the last k whose own end is not beyond it.  Where that is its own end, the
+    # run is there already.
+    if ends:
+        k = 0
+        for end in range(ends[0], n + 1):
+            while k + 1 < len(ends) and ends[k + 1] <= end:
+                k += 1
+            if ends[k] < end:
+                places.append((k, end))
     return cut, [(a, b - a, hashlib.blake2b(" ".join(flat[a:b]).encode(), digest_size=16).digest()) for a, b in places]
 
 
