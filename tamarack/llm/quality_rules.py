@@ -30,9 +30,9 @@ from ._common import SPACE_CLASS, space_words, written
 from ._spans import let
 
 BASE = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-EXTRA = ["n_kinds", "n_wordless", "n_lettered", "n_upper", "n_marks", "n_digits", "n_lines", "n_ended", "n_short"]
+EXTRA = ["n_kinds", "n_wordless", "n_letterless", "n_upper", "n_marks", "n_digits", "n_lines", "n_ended", "n_short"]
 RULES = ["symbols", "symbol_kinds", "wordless", "lettered", "marks", "word_length", "repetition", "dup_lines", "capitals", "digits", "ended", "short_lines"]
-SYMBOLS = "#*$%&|<>"
+SYMBOLS, ENDS = "#*$%&|<>", ".!?\u2026\"'\u201d\u00bb)"
 
 
 def _repeat_words(w: Column, n: Column) -> Column:
@@ -59,7 +59,9 @@ def with_features(docs: DataFrame, carry: list[str], text_col: str = "text") ->
     """``row``, a struct of the ``carry`` columns, and ``_`` + each of BASE and EXTRA (long)."""
     out = docs.select(F.struct(*carry).alias("row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     only = lambda kept: F.length(F.regexp_replace("_t", f"[^{kept}]+", ""))
-    words_with = lambda kept: F.regexp_count("_t", F.lit(rf"[^{SPACE_CLASS}{kept}]*+[{kept}][^{SPACE_CLASS}]*+"))
+    # Words without are far fewer than words with.
+    words_without = lambda kinds: F.size(F.regexp_extract_all("_t", F.lit(rf"(?<![^{SPACE_CLASS}])[^{SPACE_CLASS}{kinds}]++(?![^{SPACE_CLASS}])"), F.lit(0)))
+    last = lambda line: F.right(F.rtrim(line, F.lit(" \t\r\x0b\x0c")), F.lit(1))
     lines = F.filter(F.split("_t", "\n"), lambda x: x.rlike(f"[^{SPACE_CLASS}]"))
     out = out.withColumns({"_w": space_words(F.col("_t")), "_lines": lines})
     out = out.withColumns({
@@ -71,10 +73,10 @@ def with_features(docs: DataFrame, carry: list[str], text_col: str = "text") ->
         "_n_upper": only("A-Z"),
         "_n_marks": only("!?"),
         "_n_digits": only("0-9"),
-        "_n_lettered": words_with(r"\p{L}"),
-        "_n_wordless": F.size("_w") - words_with(r"\p{L}\p{N}"),
+        "_n_letterless": words_without(r"\p{L}"),
+        "_n_wordless": words_without(r"\p{L}\p{N}"),
         "_n_lines": F.size("_lines"),
-        "_n_ended": F.size(F.filter("_lines", lambda x: x.rlike(rf"[.!?\u2026\"'\u201d\u00bb)][{SPACE_CLASS}]*$"))),
+        "_n_ended": F.size(F.filter("_lines", lambda x: last(x).isin(*ENDS))),
         "_n_short": F.size(F.filter("_lines", lambda x: F.length(x) < 30)),
     })
     out = out.withColumn("_n_repeat_words", _repeat_words(F.col("_w"), F.col("_n_words")))
@@ -107,7 +109,7 @@ def votes() -> list[Column]:
     def at_most(rule: str, value: Column) -> Column:
         return vote(value <= LIMITS[rule] / 2, value > LIMITS[rule])
 
-    length, lettered = share("word_chars", "n_words"), share("n_lettered", "n_words")
+    length, lettered = share("word_chars", "n_words"), 1 - share("n_letterless", "n_words")
     low, high = WORD_LENGTH
     ended = share("n_ended", "n_lines")
     made = {
