@@ -1,65 +1,16 @@
-"""Shared plumbing: the shared work folder and written intermediate tables.
-
-Lineage is cut by writing Parquet below ``spark.checkpoint.dir`` (read from the
-session).  Every executor can reread those files, so a lost executor costs only
-the tasks it was running.
-"""
+"""Shared plumbing: work tables in the shared folder, and words."""
 
 from __future__ import annotations
 
-import functools
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: ASCII white space: x20 and x09-x0D.
-SPACE_CLASS = r"\x20\x09-\x0D"
-
-
-@functools.cache
-def _own_dir() -> str:
-    return tempfile.mkdtemp(prefix="tamarack-")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` wins; where it is unset (tests, a local shell) a
-    temporary folder of this process serves, as there is only one machine.
-    """
-    return spark.conf.get("spark.checkpoint.dir", None) or _own_dir()
-
+from ..storage import path_exists, release, scratch, shared_dir, work_path, written
 
-def work_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the shared folder, below this application's own folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
+__all__ = ["SPACE_CLASS", "ascii_lower", "path_exists", "release", "scratch", "shared_dir", "space_words", "table", "work_path", "written"]
 
-
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, reread by others."""
-    spark = df.sparkSession
-    path = work_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    where = jvm.org.apache.hadoop.fs.Path(path)
-    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
-
-
-def path_exists(spark: SparkSession, path: str) -> bool:
-    fs, where = _fs(spark, path)
-    return fs.exists(where)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete the tables this application wrote; results not yet stored are lost."""
-    fs, where = _fs(spark, f"{shared_dir(spark).rstrip('/')}/{spark.sparkContext.applicationId}")
-    fs.delete(where, True)
+#: ASCII white space: x20 and x09-x0D.
+SPACE_CLASS = r"\x20\x09-\x0D"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -14,7 +14,9 @@ so a text costs one gather.
 
 Edge cases: a null text or one without a letter is ``und`` with score 0; a text
 too short for an n-gram gets the bias alone; null ids and repeated rows are kept,
-each with its row; without labelled rows, as in an empty table, all is ``und``;
+each with its row (a null id is never held out by the query's rule: ``held_out`` is
+null); of equal probabilities the language first in sorted order is taken; columns
+other than id, text and, for training, the label are not read; without labelled rows, as in an empty table, all is ``und``;
 long texts are read whole, in blocks.
 """
 
@@ -124,9 +126,12 @@ def fit(texts: list[str], labels: list[str], epochs: int = 6, rate: float = 0.5,
     return LanguageModel(languages, scores.astype(np.float32), bias.astype(np.float64), temperature, threshold)
 
 
-def train(labelled: DataFrame, per_language: int = 400, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """``fit`` over a sample of ``labelled``: about ``per_language`` texts a language."""
-    rows = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).alias("y"))
+def train(
+    labelled: DataFrame, per_language: int = 400, max_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> LanguageModel:
+    """``fit`` over a sample of ``labelled``: at most ``per_language`` texts a language,
+    of which at most ``max_chars`` characters are learned.  Prediction reads whole texts."""
+    rows = labelled.select(F.col(id_col).alias("i"), F.left(text_col, F.lit(max_chars)).alias("t"), F.col(lang_col).alias("y"))
     got = sample_by_class(rows, "i", "y", per_language).select("t", "y").collect()
     return fit([r.t for r in got], [r.y for r in got])
 

@@ -14,7 +14,9 @@ Prediction folds ratios and weights into one number a bucket.
 Edge cases: null and empty texts have no features and get the score of the bias;
 labels other than 0 and 1 and null labels are not learned; without both labels,
 as in an empty table, every score is the share of label 1 (0.5 without rows);
-null ids and repeated rows are kept; long texts are read whole, in blocks.
+null ids (``held_out`` is null for them in the query) and repeated rows are kept; of
+equal scores each is judged alike; columns other than id, text and, for training, the
+label are not read; long texts are read whole, in blocks.
 """
 
 from __future__ import annotations
@@ -139,12 +141,17 @@ def fit(texts: list[str | None], labels: list[int], c: float = 1.0, epochs: int
     return QualityModel(folded, bias, slope, offset)
 
 
-def train(docs: DataFrame, labels: DataFrame, per_class: int = 1500, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> QualityModel:
-    """``fit`` over the texts of about ``per_class`` rows of ``labels`` a class."""
-    known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1))
-    # About 2 * per_class rows of two numbers: bounded, whatever the input's size.
+def train(
+    docs: DataFrame, labels: DataFrame, per_class: int = 1500, max_chars: int = 200_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality"
+) -> QualityModel:
+    """``fit`` over the texts of at most ``per_class`` rows of ``labels`` a class, of which
+    at most ``max_chars`` characters are learned.  Scoring reads whole texts."""
+    known = labels.select(F.col(id_col).alias("_i"), F.col(label_col).alias("_y")).where(F.col("_y").isin(0, 1) & F.col("_i").isNotNull())
+    # 2 * per_class rows of two numbers at most, whatever the input's size.
     chosen = F.broadcast(sample_by_class(known, "_i", "_y", per_class))
-    got = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).join(chosen, F.col("_id") == F.col("_i")).select("_t", "_y").collect()
+    texts = docs.select(F.col(id_col).alias("_id"), F.left(text_col, F.lit(max_chars)).alias("_t")).join(chosen, F.col("_id") == F.col("_i"))
+    # Rows of one id are as many texts: the limit holds for what they join to as well.
+    got = sample_by_class(texts.select("_id", "_t", "_y"), "_id", "_y", per_class).select("_t", "_y").collect()
     return fit([r._t for r in got], [r._y for r in got])
 
 
