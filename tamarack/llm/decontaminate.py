@@ -10,20 +10,31 @@ lie in the document with its whole length (positional and length bounds); then
 the words are compared.  Documents are read twice: for the counts, and for the
 join, which emits verified windows and one row for each document.
 
-Windows are joined in blocks of at most ``block`` of them, so what is broadcast
-is bounded whatever the benchmark's size: a block holds ``block`` windows of
-``size`` words.  A passage that many documents share costs its occurrences; the
-rows of one document are as many as its hits.
-
-Edge cases: null and empty texts have no words; items without words have no
-windows; an item with a null id counts as the id "null"; repeated items and
-repeated windows count once; repeated rows each give a row; null ids are kept;
-empty tables give no rows, or no hits; other columns are carried in
-one struct, so their names cannot clash.
+Small benchmarks are broadcast, in blocks of at most ``block`` windows and
+``block_bytes`` bytes, one pass over the documents for each block.  A benchmark of
+more than ``passes`` blocks is joined by shuffle instead: documents send each word
+that may be a prefix with the words around it, as many as a window can reach, and
+adaptive execution splits words that many documents have.  Either way a passage that
+many documents share costs its occurrences, and the rows of one document are as many
+as its hits.
+
+A row is known by two 64-bit hashes of its carried columns and its text, so hits
+find their row again however often and in whatever order the input is computed, by
+another block or by a task that runs again.  Equal rows share the work and are
+counted, and come out as many times as they went in.
+
+Edge cases: null and empty texts have no words; very long texts are read whole;
+items without words have no windows; an item with a null id counts as the id "null";
+repeated items and repeated windows count once; repeated rows each give a row; null
+ids are kept; empty tables give no rows, or no hits; other columns are carried in
+one struct, so their names cannot clash (columns of a map type cannot be hashed:
+carry them as JSON).
 """
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -53,9 +64,18 @@ def _windows(benchmark: DataFrame, size: int, item_col: str, text_col: str) -> t
     return cut.select("window", "words").dropDuplicates(["window"]), cut.select("window", "item").distinct()
 
 
-def _blocks(df: DataFrame, key: str, rows: int, most: int) -> list[DataFrame]:
-    n = max(1, -(-rows // most))
-    return [df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+def _number_of_blocks(df: DataFrame, text: Column, rows: int, size: int) -> int:
+    """Blocks of at most ``rows`` rows and about ``size`` bytes of ``text``."""
+    n, total = df.agg(F.count("*"), F.sum(F.octet_length(text))).first()
+    return max(1, -(-n // rows), -(-(total or 0) // size))
+
+
+def _block(df: DataFrame, key: str, k: int, n: int) -> DataFrame:
+    return df.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) if n > 1 else df
+
+
+def _all(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.union, parts)
 
 
 def find_hits(
@@ -63,6 +83,8 @@ def find_hits(
     benchmark: DataFrame,
     size: int = 10,
     block: int = 100_000,
+    block_bytes: int = 32 << 20,
+    passes: int = 4,
     carry: list[str] | None = None,
     text_col: str = "text",
     item_col: str = "item_id",
@@ -76,10 +98,12 @@ def find_hits(
     vocabulary = written(windows.select(F.explode("words").alias("word")).distinct(), "bench-words")
 
     words = raw_words(F.col(text_col))
-    count = None
-    for part in _blocks(vocabulary, "word", vocabulary.count(), block):
-        found = docs.select(F.explode(words).alias("word")).select(lowered(F.col("word")).alias("word")).join(F.broadcast(part), "word", "left_semi").groupBy("word").count()
-        count = found if count is None else count.union(found)
+    n = _number_of_blocks(vocabulary, F.col("word"), block, block_bytes)
+    found = docs.select(F.explode(words).alias("word")).select(lowered(F.col("word")).alias("word"))
+    if n <= passes:
+        count = _all([found.join(F.broadcast(_block(vocabulary, "word", k, n)), "word", "left_semi").groupBy("word").count() for k in range(n)])
+    else:  # counted where they are read, then cut down to the vocabulary
+        count = found.groupBy("word").count().join(vocabulary, "word", "left_semi")
     count = written(count.withColumnRenamed("count", "times"), "bench-counts")
 
     placed = windows.select("window", "words", F.posexplode("words").alias("off", "word")).join(count, "word", "left")
@@ -88,22 +112,42 @@ def find_hits(
     keyed = keyed.select("window", F.array_join("words", " ").alias("wtext"), F.col("p.word").alias("key"), F.col("p.off").alias("off"), F.size("words").alias("len"), F.lit(True).alias("there"))
     keyed = written(keyed, "bench-prefixes")
 
-    base = docs.select(F.struct(*carry).alias("row"), words.alias("w")).withColumn("uid", F.monotonically_increasing_id())
-    each = base.select("uid", "row", "w", F.size("w").alias("n"), F.posexplode_outer("w").alias("pos", "word"))
-    each = each.withColumn("word", lowered(F.col("word")))
-    passes = None
-    for k, part in enumerate(_blocks(keyed, "window", keyed.count(), block)):
-        start = F.col("pos") - F.col("off")
-        inside = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    key = [*(docs[f"`{c}`"] for c in carry), F.col(text_col)]
+    uid = F.struct(F.xxhash64(F.lit(1), *key).alias("a"), F.xxhash64(F.lit(2), *key).alias("b"))
+    base = docs.select(uid.alias("uid"), F.struct(*carry).alias("row"), words.alias("w")).withColumn("n", F.size("w"))
+    start = F.col("pos") - F.col("off")
+    inside = (start >= 0) & (start + F.col("len") <= F.col("n"))
+    hit = F.col("there").isNotNull()
+    span = F.when(hit, F.struct(start.alias("s"), F.col("len").alias("n"))).alias("span")
+    n = _number_of_blocks(keyed, F.col("wtext"), block, block_bytes)
+    if n <= passes:
+        each = base.select("uid", "row", "w", "n", F.posexplode_outer("w").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
         same = lowered(F.array_join(F.slice("w", F.greatest(start, F.lit(0)) + 1, F.col("len")), " ")) == F.col("wtext")
-        met = each.join(F.broadcast(part), (F.col("word") == F.col("key")) & inside & same, "left")
-        # One row for each document comes along, in the first block.
-        first = (F.coalesce("pos", F.lit(0)) == 0) if k == 0 else F.lit(False)
-        hit = F.col("there").isNotNull()
-        met = met.where(hit | first).select("uid", "n", F.when(first, F.col("row")).alias("row"), F.when(hit, F.struct(start.alias("s"), F.col("len").alias("n"))).alias("span"), "window")
-        passes = met if passes is None else passes.union(met)
-    # The one row that is set, by collect_list: first() would copy it at each of the document's hits.
-    hits = passes.groupBy("uid").agg(F.max("n").alias("_n_words"), F.get(F.collect_list("row"), F.lit(0)).alias("row"), F.collect_set("span").alias("_spans"), F.collect_set("window").alias("wins"))
+        parts = []
+        for k in range(n):
+            met = each.join(F.broadcast(_block(keyed, "window", k, n)), (F.col("word") == F.col("key")) & inside & same, "left")
+            # One row for each document comes along, in the first block.
+            first = (F.coalesce("pos", F.lit(0)) == 0) if k == 0 else F.lit(False)
+            parts.append(met.where(hit | first).select("uid", "n", F.when(first, F.col("row")).alias("row"), span, "window"))
+        passed = _all(parts)
+    else:
+        low = F.greatest(F.col("pos") - (size - 1), F.lit(0))
+        around = base.select("uid", "w", "n", F.posexplode("w").alias("pos", "word")).withColumn("word", lowered(F.col("word")))
+        around = around.select("uid", "n", "pos", "word", low.alias("low"), F.slice("w", low + 1, 2 * size - 1).alias("near"))
+        same = lowered(F.array_join(F.slice("near", F.greatest(start - F.col("low"), F.lit(0)) + 1, F.col("len")), " ")) == F.col("wtext")
+        met = around.join(keyed.hint("merge"), (F.col("word") == F.col("key")) & inside & same)
+        none = base.select("uid", "n", "row", F.lit(None).cast("struct<s:int,n:int>").alias("span"), F.lit(None).cast("string").alias("window"))
+        passed = none.union(met.select("uid", "n", F.lit(None).cast(docs.select(F.struct(*carry)).schema[0].dataType).alias("row"), span, "window"))
+    # The one row that is set, by collect_set: first() would copy it at each of the document's hits.
+    # A copy's row comes once for each window found at its first word, and once without any.
+    at_first = F.greatest(F.size(F.collect_set(F.when(F.col("row").isNotNull(), F.col("window")))), F.lit(1))
+    hits = passed.groupBy("uid").agg(
+        F.max("n").alias("_n_words"),
+        F.get(F.collect_set("row"), F.lit(0)).alias("row"),
+        F.collect_set("span").alias("_spans"),
+        F.collect_set("window").alias("wins"),
+        (F.count("row") / at_first).cast("int").alias("copies"),
+    )
     hits = written(hits.withColumn("_spans", F.array_sort("_spans")), "bench-hits", "zstd")
 
     named = hits.select("uid", F.explode("wins").alias("window")).join(window_items, "window")
@@ -113,4 +157,5 @@ def find_hits(
     step = lambda a, x: F.struct(F.greatest(a["end"], stop(x)).alias("end"), (a["n"] + F.greatest(F.lit(0), stop(x) - F.greatest(a["end"], x["s"]))).alias("n"))
     n_hit = F.aggregate("_spans", begin, step, lambda a: a["n"])
     out = hits.join(named.hint("shuffle_hash"), "uid", "left")
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), "copies")))
     return out.select("row", F.col("_n_words").cast("long").alias("_n_words"), "_spans", n_hit.cast("long").alias("_n_hit"), F.coalesce("found", F.array().cast("array<string>")).alias("_items"))

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from tokenizers import Tokenizer
 
-from tamarack.llm import _boosting, _ledger, pii, quality_rules, secrets, simhash, token_counts
+from tamarack.llm import _boosting, _ledger, decontaminate, pii, quality_rules, secrets, simhash, token_counts
 from tamarack.llm._components import components
 from tamarack.llm._ledger import read_ledger
 from tamarack.llm._spans import filter_near, masked, matches
@@ -385,3 +385,25 @@ def test_votes(spark):
     assert [*cases] == quality_rules.RULES
     assert [r for r in cases if got[r][r] != -1] == []
     assert -1 not in got["none"].values()
+
+
+@pytest.mark.parametrize("options", [{}, {"block": 7}, {"block": 7, "passes": 10**6}, {"block_bytes": 60, "passes": 10**6}, {"block": 7, "passes": 0, "size": 3}])
+def test_decontamination_by_blocks_and_by_shuffle(spark, options):
+    import brute
+
+    rng = random.Random(6)
+    word = lambda: rng.choice(["a", "b", "the", "Red", "q7", "\u00e9t\u00e9", "x" * rng.randint(1, 4)])
+    items = [(k, " ".join(word() for _ in range(rng.choice([0, 1, 4, 12, 15])))) for k in range(12)] + [(None, "q7 a Red"), (3, None)]
+    rows = [(k % 50, " ".join(word() for _ in range(rng.randint(0, 60)))) for k in range(70)]
+    rows += [(100 + k, f"{rows[k][1]} {t or ''}, {t or ''}") for k, (_, t) in enumerate(items)] + [(100, items[3][1] + "! tail")] * 3
+    rows += [(200, None), (200, None), (None, items[5][1]), (None, items[5][1]), (201, items[4][1]), (202, "")]
+    docs, bench = spark.createDataFrame(rows, "doc_id long, text string").repartition(5), spark.createDataFrame(items, "item_id long, text string")
+    found = decontaminate.find_hits(docs, bench, **options)
+    got = sorted(((r.row.doc_id, r.row.text, r._n_words, r._n_hit, len(r._items), ",".join(r._items)) for r in found.collect()), key=str)
+    named = [("null" if i is None else i, t) for i, t in items]
+    wanted = []
+    for i, t in rows:
+        n, n_hit, n_items, digest, _ = brute.decontamination(t, named, options.get("size", 10))
+        wanted.append((i, t, n, n_hit, n_items, digest))
+    assert sorted(((*x[:5], brute.sha(x[5])) for x in got), key=str) == sorted(wanted, key=str)
+    assert len(got) == len(wanted) and sum(x[3] > 0 for x in wanted) > 20
