@@ -47,18 +47,21 @@ _DOMAIN = "[A-Za-z0-9-]++"
 #: Word edges, spelled out: what \\b means differs between regular expression engines.
 _START, _END = r"(?<![\p{L}0-9_])", r"(?![\p{L}0-9_])"
 _DATE = r"(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}|[0-9]{1,2}[-/.][0-9]{1,2}[-/.](?:[0-9]{4}|[0-9]{2})|[0-9]{1,2}\.?\x20(?:de\x20)?\p{L}{3,10}\x20(?:de\x20)?[12][0-9]{3})"
-#: Generators: kind, pattern, sign.
+_TITLES = "Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se\u00f1ora?|Sra?"
+_INTRO = ("name is ", "ame: ", "I am ", "hei\u00dfe ", "llamo ", "appelle ")
+#: Generators: kind, pattern, a sign that each match has, and substrings of which it has one
+#: (none: it has a digit).  Only texts with the cheap signs are searched.
 MORE = [
-    ("number", r"(?<![0-9])[(]?[0-9]++(?:[().\x20/-]{1,3}+[0-9]++)*+", r"[0-9](?:[().\x20/-]{0,3}[0-9]){5}"),
-    ("mail", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[(\[{{]at[)\]}}]\x20?|\x20at\x20){_DOMAIN}(?:(?:\.|\x20?[(\[{{]dot[)\]}}]\x20?|\x20dot\x20){_DOMAIN})++", r"[(\[{\x20]at[)\]}\x20]"),
-    ("account", rf"{_START}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,}}+(?:\x20?[A-Z0-9]{{1,3}})?+{_END}", r"[A-Z]{2}[0-9]{2}"),
-    ("ip6", r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:"),
-    ("mac", r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])", r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]"),
-    ("date", rf"(?<![0-9./-]){_DATE}(?![0-9])", r"[0-9][-/.\x20]"),
-    ("name", rf"(?:(?<!\p{{L}})(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se\u00f1ora?|Sra?)\.?\x20|(?<=name\x20is\x20|[Nn]ame:\x20|I\x20am\x20|hei\u00dfe\x20|llamo\x20|appelle\x20)){_NAME}", r"\p{Lu}"),
-    ("street", rf"(?<![0-9])(?:[0-9]{{1,5}}[a-z]?,?\x20(?:(?:rue|avenue|boulevard)\x20(?:de\x20la\x20|de\x20|du\x20|des\x20)?{_NAME}|(?:\p{{Lu}}\p{{L}}++\x20){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Square){_END}))|(?<!\p{{L}})(?:\p{{Lu}}\p{{L}}*(?:stra\u00dfe|strasse|weg|platz|allee)|(?:Calle|Avenida|Plaza)\x20(?:de\x20la\x20|de\x20|del\x20)?{_NAME},?)\x20[0-9]{{1,4}}[a-z]?{_END}", r"[0-9]"),
-    ("handle", r"(?<![A-Za-z0-9_@./])@[A-Za-z0-9_]{3,30}+(?![A-Za-z0-9_@.])", "@"),
-    ("place", r"(?<![0-9.])-?[0-9]{1,3}\.[0-9]{4,8},\x20?-?[0-9]{1,3}\.[0-9]{4,8}(?![0-9.])", r"\.[0-9]{4}"),
+    ("number", r"(?<![0-9])[(]?[0-9]++(?:[().\x20/-]{1,3}+[0-9]++)*+", r"[0-9](?:[().\x20/-]{0,3}[0-9]){5}", ()),
+    ("mail", rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++(?:\x20?[(\[{{]at[)\]}}]\x20?|\x20at\x20){_DOMAIN}(?:(?:\.|\x20?[(\[{{]dot[)\]}}]\x20?|\x20dot\x20){_DOMAIN})++", r"[(\[{]at[)\]}]|\x20at\x20[A-Za-z0-9-]++(?:\.|\x20dot\x20|\x20?[(\[{]dot[)\]}])[A-Za-z0-9\x20-]", ("(at)", "[at]", "{at}", " at ")),
+    ("account", rf"{_START}[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,}}+(?:\x20?[A-Z0-9]{{1,3}})?+{_END}", r"[A-Z]{2}[0-9]{2}", ()),
+    ("ip6", r"(?<![0-9A-Fa-f:.])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])", r"[0-9A-Fa-f]:[0-9A-Fa-f]{1,4}:", (":",)),
+    ("mac", r"(?<![0-9A-Fa-f:-])(?:[0-9A-Fa-f]{2}[:-]){5}[0-9A-Fa-f]{2}(?![0-9A-Fa-f:-])", r"[0-9A-Fa-f]{2}[:-][0-9A-Fa-f]{2}[:-]", (":", "-")),
+    ("date", rf"(?<![0-9./-]){_DATE}(?![0-9])", r"[0-9][-/.][0-9]{1,2}[-/.][0-9]|[0-9]\.?\x20(?:de\x20)?\p{L}{3,10}\x20(?:de\x20)?[12][0-9]{3}", ()),
+    ("name", rf"(?:(?<!\p{{L}})(?:{_TITLES})\.?\x20|(?<=name\x20is\x20|[Nn]ame:\x20|I\x20am\x20|hei\u00dfe\x20|llamo\x20|appelle\x20)){_NAME}", rf"(?:{_TITLES})\.?\x20\p{{Lu}}|(?:{'|'.join(_INTRO)})\p{{Lu}}", ("Mr", "Ms", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Se\u00f1or", "Sr", *_INTRO)),
+    ("street", rf"(?<![0-9])(?:[0-9]{{1,5}}[a-z]?,?\x20(?:(?:rue|avenue|boulevard)\x20(?:de\x20la\x20|de\x20|du\x20|des\x20)?{_NAME}|(?:\p{{Lu}}\p{{L}}++\x20){{1,3}}(?:Street|St|Avenue|Ave|Road|Rd|Lane|Ln|Boulevard|Blvd|Drive|Court|Square){_END}))|(?<!\p{{L}})(?:\p{{Lu}}\p{{L}}*(?:stra\u00dfe|strasse|weg|platz|allee)|(?:Calle|Avenida|Plaza)\x20(?:de\x20la\x20|de\x20|del\x20)?{_NAME},?)\x20[0-9]{{1,4}}[a-z]?{_END}", r"[0-9][a-z]?,?\x20(?:rue|avenue|boulevard|\p{Lu})|(?:stra(?:\u00df|ss)e|weg|platz|allee)\x20[0-9]|(?:Calle|Avenida|Plaza)\x20", ()),
+    ("handle", r"(?<![A-Za-z0-9_@./])@[A-Za-z0-9_]{3,30}+(?![A-Za-z0-9_@.])", "@[A-Za-z0-9_]{3}", ("@",)),
+    ("place", r"(?<![0-9.])-?[0-9]{1,3}\.[0-9]{4,8},\x20?-?[0-9]{1,3}\.[0-9]{4,8}(?![0-9.])", r"\.[0-9]{4,8},\x20?-?[0-9]", ()),
 ]
 #: Digits that a digit group has, from a short account number to a long one.
 NUMBER = (6, 30)
@@ -128,7 +131,7 @@ def _features(v: Column, near: Column, after: Column, k: int) -> list[Column]:
         flag(v.rlike(r"[A-Fa-f]") & v.contains(":")),
         F.least(F.length(F.regexp_replace(v, r"[^\p{Lu}]+", "")), F.lit(20)),
         flag(v.rlike(r"[(\[{]at[)\]}]|\x20dot\x20")),
-        flag(v.rlike(r"^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se\u00f1or|Sra?)")),
+        flag(v.rlike(f"^(?:{_TITLES})")),
         flag(v.rlike(r"[.][0-9]+[^0-9]")),
     ]
 
@@ -136,9 +139,11 @@ def _features(v: Column, near: Column, after: Column, k: int) -> list[Column]:
 N_FEATURES = 19
 
 
-def _candidates(text: Column, parts: Column, k: int) -> Column:
-    """array of (k, s, e, kind, features) of generator ``k``; ``parts``: the text's ``pieces``."""
-    kind, pattern, sign = MORE[k]
+def _candidates(text: Column, parts: Column, digit: Column, k: int) -> Column:
+    """array of (k, s, e, kind, features) of generator ``k``; ``parts``: the text's
+    ``pieces``; ``digit``: whether it has one."""
+    kind, pattern, sign, needs = MORE[k]
+    there = functools.reduce(Column.__or__, [text.contains(x) for x in needs]) if needs else digit
 
     def placed(x: Column) -> Column:
         near = cut_from(parts, F.greatest(x["s"] - 30, F.lit(0)), F.least(x["s"], F.lit(30)))
@@ -153,7 +158,7 @@ def _candidates(text: Column, parts: Column, k: int) -> Column:
     found = matches(text, pattern)
     if kind == "number":
         found = F.filter(found, lambda x: F.length(_digits(x["v"])).between(*NUMBER))
-    return F.when(text.rlike(sign), F.transform(F.transform(found, placed), full)).otherwise(none)
+    return F.when(there & text.rlike(sign), F.transform(F.transform(found, placed), full)).otherwise(none)
 
 
 def examples(n: int = 4000, seed: int = 11) -> list[tuple[int, str, int, int]]:
@@ -223,7 +228,7 @@ def trained(n: int = 4000, seed: int = 11, precision: float = 0.98) -> tuple[lis
     """(trees, threshold of each generator); computed once in a driver process."""
     spark = SparkSession.getActiveSession()
     frame = spark.createDataFrame(examples(n, seed), "i int, text string, at int, label int")
-    every = F.concat(*(_candidates(F.col("text"), F.col("parts"), k) for k in range(len(MORE))))
+    every = F.concat(*(_candidates(F.col("text"), F.col("parts"), F.lit(True), k) for k in range(len(MORE))))
     rows = frame.withColumn("parts", pieces(F.col("text"))).select("i", "at", "label", F.explode(every).alias("c")).select("i", "at", "label", "c.s", "c.e", "c.k", "c.f").collect()
     learn: dict[tuple[int, ...], list[int]] = {}
     held = []
@@ -254,8 +259,8 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     trees, _ = trained()
     rows = docs.select(F.col(id_col), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     rows = rows.select(id_col, "_t", F.array_sort(F.concat(*(_base(F.col("_t"), k) for k in range(len(BASE))))).alias("base"))
-    rows = rows.withColumn("_parts", pieces(F.col("_t")))
-    rows = rows.withColumn("_c", F.concat(*(_candidates(F.col("_t"), F.col("_parts"), k) for k in range(len(MORE)))))
+    rows = rows.withColumns({"_parts": pieces(F.col("_t")), "_digit": F.col("_t").rlike("[0-9]")})
+    rows = rows.withColumn("_c", F.concat(*(_candidates(F.col("_t"), F.col("_parts"), F.col("_digit"), k) for k in range(len(MORE)))))
 
     def scored(x: Column) -> Column:
         z = _boosting.as_column(trees, [F.get(x["f"], F.lit(i)) for i in range(N_FEATURES)])

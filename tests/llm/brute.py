@@ -160,7 +160,7 @@ def pii_spans(text, trees, limits) -> list[str]:
     text = text or ""
     base = sorted((k, m.start(), m.end(), kind) for k, (kind, p, ok) in enumerate(PII) for m in re.finditer(p, text, re.ASCII) if ok(m))
     found = []
-    for k, (kind, pattern, _) in enumerate(pii.MORE):
+    for k, (kind, pattern, *_) in enumerate(pii.MORE):
         for m in regex.finditer(pattern, text):
             v, near, after = m[0], text[max(0, m.start() - 30) : m.start()], text[m.end() : m.end() + 1]
             near = regex.sub(pii._SENTENCE, "", near)
@@ -176,7 +176,7 @@ def pii_spans(text, trees, limits) -> list[str]:
                 int(near[-1:] != "" and near[-1:] in "$#/_=-." or near[-1:].isascii() and near[-1:].isalnum()),
                 int(after != "" and after in "%/_$#&*" or after.isascii() and after.isalnum()),
                 int(":" in v and any(c in "ABCDEFabcdef" for c in v)), min(sum(has(r"\p{Lu}", c) for c in v), 20),
-                has(r"[(\[{]at[)\]}]| dot ", v), has("^(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Monsieur|Madame|Mme|Se\u00f1or|Sra?)", v), has("[.][0-9]+[^0-9]", v),
+                has(r"[(\[{]at[)\]}]| dot ", v), has(f"^(?:{pii._TITLES})", v), has("[.][0-9]+[^0-9]", v),
             )
             z = 0.0
             for t in trees:
