@@ -51,12 +51,14 @@ def _cuts(words: list[str], long_words: int) -> list[int]:
     """Where the pieces of a long sentence start, and the number of its words."""
     n = len(words)
     low = " ".join(words).lower().encode().split(b" ")
-    h = np.fromiter((zlib.crc32(w, zlib.crc32(b" ", c)) for c, w in zip(map(zlib.crc32, [b"", *low]), low)), dtype=np.int64, count=n)
-    least = np.zeros(n, dtype=bool)
-    mid = h[_NEAR : n - _NEAR]
-    least[_NEAR : n - _NEAR] = np.all([mid < h[_NEAR + k : n - _NEAR + k] for k in range(-_NEAR, _NEAR + 1) if k], axis=0)
+    pairs = [b" " + low[0], *map(b"%b %b".__mod__, zip(low, low[1:]))]
+    h = np.fromiter(map(zlib.crc32, pairs), dtype=np.int64, count=n)
+    least: list[int] = []
+    if n > 2 * _NEAR:
+        around = np.minimum.reduce([h[_NEAR + k : n - _NEAR + k] for k in range(-_NEAR, _NEAR + 1) if k])
+        least = (np.flatnonzero(h[_NEAR : n - _NEAR] < around) + _NEAR + 1).tolist()
     found = [0]
-    for stop in [*(np.flatnonzero(least) + 1).tolist(), n]:
+    for stop in [*least, n]:
         found += range(found[-1] + long_words, stop, long_words)
         found.append(stop)
     return found
@@ -69,17 +71,14 @@ def sentences(text: str | None, long_words: int) -> list[tuple[int, int]]:
     found, at = [], 0
     ends = [(m.start(), m.end()) for m in _ENDS.finditer(text)] + [(len(text), len(text))]
     for stop, after in ends:
-        if stop - at <= 2 * long_words:  # too short to have more words
-            piece = text[at:stop]
+        piece = text[at:stop]
+        if stop - at <= 2 * long_words or len(piece.split()) <= long_words:
             if body := piece.strip():
                 lead = at + len(piece) - len(piece.lstrip())
                 found.append((lead, lead + len(body)))
         else:
             words = [m.span() for m in _WORD.finditer(text, at, stop)]
-            if len(words) > long_words:
-                at_word = _cuts([text[a:b] for a, b in words], long_words)
-            else:
-                at_word = [0, len(words)] if words else []
+            at_word = _cuts(piece.split(), long_words)
             found += [(words[a][0], words[b - 1][1]) for a, b in zip(at_word, at_word[1:])]
         at = after
     return found
