@@ -97,12 +97,19 @@ class Scorer:
         return adaptive_vote(queries, self.index, self.fast_nprobe, self.nprobe)
 
     def answer(self, raw: DataFrame, write: Callable[[DataFrame], None], reject: Callable[[DataFrame], None]) -> None:
-        """Score raw rows (qid, body) and hand decisions and rejects on, timed by stage."""
-        good, bad = score_raw(raw, self.index, self.fast_nprobe, self.nprobe)
-        with self.stats.timed("score"):
-            write(good)
-        with self.stats.timed("reject"):
-            reject(bad)
+        """Score raw rows (qid, body) and hand decisions and rejects on, timed by stage.
+
+        The rows are those of a micro-batch: kept while they are worked on, so that
+        the source is read once."""
+        raw = raw.persist()
+        try:
+            good, bad = score_raw(raw, self.index, self.fast_nprobe, self.nprobe)
+            with self.stats.timed("score"):
+                write(good)
+            with self.stats.timed("reject"):
+                reject(bad)
+        finally:
+            raw.unpersist()
         self.stats.count(calls=1)
 
 

@@ -2,11 +2,12 @@ import json
 from datetime import date, timedelta
 
 import pytest
-from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from tamarack.functions.features import DIM, vectorize
 from tamarack.sources.payloads import parse_payloads, read_lookup, read_payloads, read_references, split_rejects
 
+# The vector of a payload without any field, and the one known payload with its vector.
 DEFAULTS = [0, 0, 0, 0, 0, -1, -1, 0, 0, 0, 0, 1, 0.5, 0]
 
 
@@ -99,7 +100,11 @@ def test_readers(spark, tmp_path):
     assert read_lookup(spark, str(tmp_path / "l.json")) == {"5411": 0.15, "9": 1.0}
 
 
-def test_filters_reach_the_scan(spark):
-    plan = spark.read.parquet("/root/testdata/sf0.001/events.parquet").where(F.col("value") > 5).select("event_id")
-    text = plan._jdf.queryExecution().toString()
-    assert "PushedFilters: [IsNotNull(value), GreaterThan(value,5.0)]" in text and "ReadSchema: struct<event_id:bigint,value:double>" in text
+def test_filters_and_columns_reach_the_scan_of_a_registered_query(spark):
+    plan = entry.queries()["latency_histogram"](spark, "/root/testdata/sf0.001").where("bucket = 2")
+    assert "ReadSchema: struct<value:double>" in plan._jdf.queryExecution().toString()
+    spark.conf.set("spark.sql.maxMetadataStringLength", 2000)  # else the schema is cut
+    found = entry.queries()["knn_vote"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in found
+    assert "PushedFilters: [IsNotNull(embedding)" in found
