@@ -78,7 +78,62 @@ QUERIES = {
     for f in (op1_packing, op2_decontamination, op3_substring_dedup, op4_language_id, op5_quality_rules, op6_quality_classifier, op7_simhash, op8_pii, op9_token_counts, op10_secrets)
 }
 
+def base_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base columns of op5, which SQL can express."""
+    made = op5_quality_rules(spark, sf_dir)
+    return made.select("doc_id", *quality_rules.BASE, "base_failed")
+
+
+def base_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op8."""
+    return op8_pii(spark, sf_dir).select("doc_id", "n_email", "n_ip", "n_card", "n_phone")
+
+
+def base_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base counts of op10."""
+    return op10_secrets(spark, sf_dir).select("doc_id", "n_assign", "n_access", "n_hex")
+
+
+#: Columns of the operators above that SQL can express, held against it.
+CHECKS = {f.__name__: f for f in (base_quality, base_pii, base_secrets)}
+
+_SPACE = "\\x20\\x09-\\x0D"
+_DIGITS = "regexp_replace(x, '[^0-9]', '', 'g')"
+_LUHN = f"list_sum(list_transform(range(1, len({_DIGITS}) + 1), lambda i: CASE WHEN i % 2 = 1 THEN CAST(reverse({_DIGITS})[i] AS INTEGER) WHEN CAST(reverse({_DIGITS})[i] AS INTEGER) > 4 THEN 2 * CAST(reverse({_DIGITS})[i] AS INTEGER) - 9 ELSE 2 * CAST(reverse({_DIGITS})[i] AS INTEGER) END)) % 10 = 0"
+
+
+def _counted(pattern: str, check: str = "true", group: int = 0) -> str:
+    return f"CAST(len(list_filter(regexp_extract_all(t, '{pattern}', {group}), lambda x: {check})) AS BIGINT)"
+
+
 ORACLES = {
+    "base_quality": f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS r, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^{_SPACE}]+') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^{_SPACE}]')) AS lines FROM documents
+), g AS (
+  SELECT r, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x FROM (SELECT r, w, unnest(range(1, len(w) - 1)) AS i FROM d)
+), rep AS (
+  SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM (SELECT r, i, count(*) OVER (PARTITION BY r, x) AS times FROM g) WHERE times > 1) GROUP BY r
+), b AS (
+  SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(list_sum(list_transform(w, lambda x: length(x))), 0) AS BIGINT) AS word_chars,
+    CAST(length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols, CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines,
+    CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words FROM d LEFT JOIN rep USING (r)
+)
+SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b
+""",
+    "base_pii": f"""
+SELECT doc_id, {_counted("[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\\.[A-Za-z0-9-]+)+")} AS n_email,
+  {_counted("[0-9]+(\\.[0-9]+)(\\.[0-9]+)(\\.[0-9]+)", "len(list_filter(string_split(x, '.'), lambda p: CAST(p AS HUGEINT) > 255)) = 0")} AS n_ip,
+  {_counted("[0-9]([\\x20-]?[0-9])+", f"len({_DIGITS}) BETWEEN 16 AND 19 AND {_LUHN}")} AS n_card,
+  {_counted("\\+[0-9][\\x20().0-9-]+[0-9]", f"len({_DIGITS}) BETWEEN 8 AND 15")} AS n_phone
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+""",
+    "base_secrets": f"""
+SELECT doc_id, {_counted("((?i:password|passwd|secret|token|api_?key))[\"'']?\\x20*[:=]\\x20*[\"'']?([A-Za-z0-9+/_.=-]+)", "length(x) >= 12", 2)} AS n_assign,
+  {_counted("AKIA[A-Z0-9]+", "length(x) >= 18")} AS n_access, {_counted("[0-9a-f]+", "length(x) >= 16")} AS n_hex
+FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents)
+""",
     "op2_decontamination": """
 WITH d AS (
   SELECT doc_id, row_number() OVER () AS r, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
