@@ -1,8 +1,17 @@
 """From raw documents to packed sequences: five stages, each over what the last one kept.
 
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written
-as Parquet and reread as the next one's docs.  Edge cases are those of the
-operators: see their docstrings.  Columns beyond those of documents are carried.
+as Parquet and reread as the next one's docs.  Columns beyond those of documents are
+carried through all stages but the last, whatever their names.
+
+Edge cases by stage.  Null, empty and blank texts fail the quality base, so none goes
+on from the first stage; given to a later one alone, they are one group of copies for
+near-dedup (the smallest id stays; without ids all of them), have no benchmark window
+and no secret, and pack as their end id.  Null ids: kept by every stage; near-dedup
+keeps a row without an id only where no row of its group has one.  Repeated rows: all
+stay or go together, and packing gives pieces for each.  Ties: near-dedup keeps the
+smallest id; packing orders equal points by row.  Very long texts are read whole by
+every stage.  Empty tables: no rows, and without benchmark items no document goes.
 """
 
 from __future__ import annotations
