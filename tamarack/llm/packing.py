@@ -11,7 +11,8 @@ Only (row, key, count) is sorted; the ids are written once beside it, and meet
 their places in one shuffle on the row number, which no group of copies and no
 hot source can skew.
 
-Edge cases: a null or empty text is its end id alone; repeated rows and ties on
+Edge cases: a null or empty text is its end id alone; null ids are kept, each with its
+own pieces; repeated rows and ties on
 the curve are ordered by row; long texts span as many sequences as they need; an
 empty table gives no pieces; other columns are not read.
 """

@@ -12,7 +12,8 @@ all pairs would.  Copies share a fingerprint and count once here, however many.
 Edge cases: null, empty and blank texts have fingerprint zero and are linked
 like any other; a text with fewer words than a shingle is one shingle; null ids
 are kept and never name a component unless all its ids are null; repeated rows
-each give a row; an empty table gives no rows.  Long texts are hashed in blocks.
+each give a row; an empty table gives no rows; other columns are not read
+(``keep_one`` carries them).  Long texts are hashed in blocks.
 """
 
 from __future__ import annotations

@@ -1,7 +1,8 @@
 """Token counts through a digest cache (operator 9).
 
 Content digests are joined to stored counts of the same tokenizer version; only
-distinct misses are encoded, and their counts are appended to the cache.
+distinct misses are encoded, each once however many rows have it, and their counts
+are appended to the cache.
 
 Edge cases: null and empty texts have 0 tokens; a null id is kept; repeated rows
 each give a row; an empty table gives an empty result; other columns of the

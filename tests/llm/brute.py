@@ -186,3 +186,19 @@ def pii_spans(text, trees, limits) -> list[str]:
     best = [a for a in found if not any(-a[1] < -b[2] and -b[1] < -a[2] and b[:4] > a[:4] for b in found)]
     every = sorted([*base, *((-k, -s, -e, kind) for _, s, e, k, kind in best)])
     return [f"{kind}:{s}:{e}" for _, s, e, kind in every]
+
+
+def one_of_each_group(rows: list[tuple], least: float = 0.8) -> set:
+    """Ids that stay if texts within two bits or at a five-word Jaccard similarity of ``least`` are linked."""
+    prints, sets = [], []
+    for _, t in rows:
+        words = SPACE.findall((t or "").translate(LOWER))
+        prints.append(fingerprint(t))
+        sets.append({tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    root = [*range(len(rows))]
+    for a in range(len(rows)):
+        for b in range(a):
+            alike = len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]) > 0
+            if alike or (prints[a] ^ prints[b]).bit_count() <= 2:
+                root = [root[a] if r == root[b] else r for r in root]
+    return {min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in root}

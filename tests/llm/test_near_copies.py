@@ -55,3 +55,14 @@ def test_similar_joins_what_all_pairs_join():
                 root = [root[a] if r == root[b] else r for r in root]
             joined.append([[r == q for q in root] for r in root])
         assert joined[0] == joined[1]
+
+
+def test_stage_keeps_what_comparing_all_pairs_keeps(spark):
+    """The stage links by fingerprints and by shingles; documents of the test tables, each with an id."""
+    import brute
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
+    got = {r.doc_id for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()}
+    assert got == brute.one_of_each_group(rows)
+    assert len(got) < len({t for _, t in rows})
