@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 
 from ._common import path_exists, written
 
-BROADCAST = 250_000
+BROADCAST = 50_000
 KEY_FIELDS = [T.StructField("version", T.StringType()), T.StructField("digest", T.BinaryType())]
 
 
@@ -67,7 +67,7 @@ def through_ledger(
     known = read_ledger(spark, path, schema, version)
     seen = rows.select("digest").distinct()
     unseen = written(seen.join(known.select("digest"), "digest", "left_anti"), "ledger-unseen")
-    n = len(unseen.select(F.lit(1)).limit(BROADCAST + 1).collect())
+    n = unseen.limit(BROADCAST + 1).count()
 
     # A hint on the many: their hashes are built of digests, not of texts.
     wanted = F.broadcast(unseen) if n <= BROADCAST else unseen.hint("shuffle_hash")

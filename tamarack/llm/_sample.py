@@ -23,7 +23,9 @@ def sample_by_class(rows: DataFrame, id_col: str, class_col: str, per_class: int
     """
     known = rows.where(F.col(class_col).isNotNull())
     counts = known.groupBy(F.col(class_col).alias("_class")).agg(F.count("*").alias("_n"))
-    most = max(1, min(per_class, int((max_rows or 64 * per_class) / max(1, counts.count()))))
+    n_classes = counts.count()
+    most = max(1, min(per_class, int((max_rows or 64 * per_class) / max(1, n_classes))))
+    counts = F.broadcast(counts) if n_classes <= 10_000 else counts  # one row a class
     # xxhash64 is even over the longs: compare its top 31 bits to a share of 2**31.  A share
     # of 1.5 times and 50 rows more leaves the ordered limit something to cut nearly always.
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(id_col).cast("string"), *rows.columns), 33)

@@ -129,7 +129,7 @@ def repeated_rows(spark):
     return spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
 
 
-@pytest.mark.parametrize("most", [250_000, 2])
+@pytest.mark.parametrize("most", [50_000, 2])
 def test_each_unseen_text_is_handed_over_once(spark, tmp_path, monkeypatch, most):
     monkeypatch.setattr(_ledger, "BROADCAST", most)
     at, seen = str(tmp_path / "ledger"), []
