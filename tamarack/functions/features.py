@@ -61,7 +61,9 @@ def day_of_week(text: Column) -> Column:
 
 
 def minutes_since(now: Column, last: Column) -> Column:
-    seconds = seconds_of(wall_clock(now)) - seconds_of(wall_clock(last))
+    # One element: each text is then parsed once.
+    pair = F.array(F.struct(wall_clock(now).alias("a"), wall_clock(last).alias("b")))
+    seconds = F.element_at(F.transform(pair, lambda p: seconds_of(p["a"]) - seconds_of(p["b"])), 1)
     return clamp01(f32(f32(seconds) / F.lit(60.0).cast("float")) * inverse(LIMITS["minutes"]))
 
 

@@ -30,7 +30,7 @@ BLOCK, SLICE = 2048, 100_000
 
 
 def at_most(df: DataFrame, n: int) -> bool:
-    return len(df.select(F.lit(1)).limit(n + 1).collect()) <= n
+    return df.select(F.lit(1)).limit(n + 1).count() <= n
 
 
 def dealt(key: str, n: int) -> Column:

@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from ..functions.features import seconds_of
 from ..functions.vectors import abs_max, fit_scale, quantize
+from ..operators.search import at_most
 
 DAY = 86_400
 KNOWN = ["click", "view", "signup"]
@@ -56,10 +57,11 @@ def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Averages and counts are aggregates joined back, or running windows: no user's rows are collected.
     users = e.groupBy("user_id").agg((F.sum(cents) / F.count("*") / 100.0).alias("user_avg"))
     kinds = e.groupBy("event_type").agg((F.sum(cents) / F.count("*") / 100.0).alias("kind_avg"))
+    few = at_most(e.select("event_type").distinct(), 10_000)  # types, one row each
     e = e.withColumn("n_day", F.count("*").over(by_user.orderBy("sec").rangeBetween(-DAY, 0)).cast("int")).withColumn("last_iso", F.lag("iso").over(in_order))
     # Null-safe: events without a user or a type are a group of their own, as in the windows.
     users, kinds = users.withColumnRenamed("user_id", "_user"), kinds.withColumnRenamed("event_type", "_kind")
-    e = e.join(users, F.col("user_id").eqNullSafe(F.col("_user"))).join(kinds, F.col("event_type").eqNullSafe(F.col("_kind")))
+    e = e.join(users, F.col("user_id").eqNullSafe(F.col("_user"))).join(F.broadcast(kinds) if few else kinds, F.col("event_type").eqNullSafe(F.col("_kind")))
     mcc = F.create_map(*(F.lit(x) for kv in MCC.items() for x in kv))
     last = F.struct(F.col("last_iso").alias("timestamp"), (F.col("k") * 11.5).alias("km_from_current"))
     return e.select(

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tamarack.operators import ivf, kmeans
+from tamarack.operators import evaluate, ivf, kmeans
 from tamarack.operators.index import IvfIndex
 from tamarack.operators.search import exact_knn, vote
 from tamarack.plans.adapters import query_set, references
@@ -120,3 +120,12 @@ def test_long_lists_are_saved_in_several_files(spark, refs, tmp_path, monkeypatc
 def test_training_on_a_copy_is_the_same(spark, refs):
     a, b = kmeans.train(refs, 5, 3), kmeans.train(refs.repartition(3), 5, 3, copy=False)
     assert a.centroids.tolist() == b.centroids.tolist() and a.sizes.tolist() == b.sizes.tolist()
+
+
+def test_percentiles_by_sketch_are_within_their_ranks(spark):
+    rows = spark.range(20_000).select((F.pmod(F.xxhash64("id"), F.lit(20_000))).cast("double").alias("ms"))
+    exact, near = evaluate.latency_score(rows, "ms").first(), evaluate.latency_score(rows, "ms", 1000).first()
+    ranks = sorted(r.ms for r in rows.collect())
+    for name, at in (("p50", 0.5), ("p95", 0.95), ("p99", 0.99)):
+        assert abs(np.searchsorted(ranks, near[name]) - at * 20_000) <= 20_000 / 1000 + 1
+    assert near.max_ms == exact.max_ms
