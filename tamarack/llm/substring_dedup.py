@@ -19,7 +19,7 @@ Spans of one digest are pre-aggregated before the shuffle, and the join back is
 one that adaptive execution can split, so a passage that a third of all rows
 share does not meet in one task.
 
-Texts are cut once; only those that lose a sentence are cut again.
+Texts are cut once: where the sentences are travels beside the spans.
 
 Edge cases: null texts stay null; empty and blank texts are as they were;
 repeated rows (one id, one text) are one place and stay alike; null ids come last;
@@ -144,10 +144,11 @@ def remove_repeats(
             out: list[list] = [[], [], [], [], []]
             for doc_id, text, key in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "_key")), strict=True):
                 cut, found = spans(text, run, min_words, long_words, several, few_words)
-                # Without a digest: the text's number of sentences.
-                for first, n, digest in [(len(cut), 0, None), *found]:
-                    for k, x in enumerate((doc_id, key, first, n, digest)):
-                        out[k].append(x)
+                # Without a span: where the text's sentences start and end.
+                places = np.array(cut, dtype="<i4").tobytes()
+                first, n, digest = zip((0, 0, places), *found)
+                for column, x in zip(out, ([doc_id] * len(n), [key] * len(n), first, n, digest), strict=True):
+                    column.extend(x)
                 if len(out[0]) >= 50_000:
                     yield batch(out, b.schema.field("_id").type)
                     out = [[], [], [], [], []]
@@ -161,22 +162,22 @@ def remove_repeats(
     keyed = rows.withColumn("_key", F.xxhash64("_text"))
     made = written(keyed.mapInArrow(cut, f"_id {kind}, _key long, first int, n int, digest binary"), "spans")
     place = F.struct(F.col("_id").isNull().alias("x"), F.col("_id").alias("a"), F.col("_key").alias("b"), F.col("first").alias("c"))
-    found = made.where(F.col("digest").isNotNull())
+    is_span = F.col("n") > 0
+    found = made.where(is_span)
     repeated = found.groupBy("digest").agg(F.count("*").alias("times"), F.min(place).alias("p")).where("times > 1")
     repeated = written(repeated.select("digest", F.col("p.a").alias("a"), F.col("p.b").alias("b"), F.col("p.c").alias("c")), "spans-repeated")
     same = F.col("_id").eqNullSafe(F.col("a")) & (F.col("_key") == F.col("b")) & (F.col("first") == F.col("c"))
     later = written(found.join(repeated, "digest").where(~same).select("_id", "_key", "first", "n"), "spans-later")
-    every = later.union(made.where(F.col("digest").isNull()).select("_id", "_key", "first", "n"))
-    is_span = F.col("n") > 0
+    every = later.withColumn("digest", F.lit(None).cast("binary")).union(made.where(~is_span).select("_id", "_key", "first", "n", "digest"))
     gone = every.groupBy(F.col("_id").alias("_gid"), F.col("_key").alias("_gkey")).agg(
-        F.max(F.when(~is_span, F.col("first"))).alias("cut"), F.collect_set(F.when(is_span, F.struct("first", "n"))).alias("spans")
+        F.max("digest").alias("cut"), F.collect_set(F.when(is_span, F.struct("first", "n"))).alias("spans")
     )
 
     def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[], [], [], [], []]
-            for doc_id, text, n, found in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "cut", "spans")), strict=True):
-                row = (doc_id, *without(text, found, long_words)) if found else (doc_id, text, n, 0, "")
+            for doc_id, text, places, found in zip(*(b.column(c).to_pylist() for c in ("_id", "_text", "cut", "spans")), strict=True):
+                row = (doc_id, *without(text, found, long_words, places)) if found else (doc_id, text, len(places) // 8, 0, "")
                 for k, x in enumerate(row):
                     out[k].append(x)
             kinds = [b.schema.field("_id").type, pa.string(), pa.int64(), pa.int64(), pa.string()]
@@ -188,12 +189,13 @@ def remove_repeats(
     return result.withColumnRenamed("_id", id_col)
 
 
-def without(text: str | None, found: list[dict], long_words: int) -> tuple[str | None, int, int, str]:
+def without(text: str | None, found: list[dict], long_words: int, places: bytes | None = None) -> tuple[str | None, int, int, str]:
     """``text`` less the sentences in ``found``, their number and their places.
+    ``places``: where its sentences start and end, if that is known.
 
     White space between sentences goes with the sentence before it.
     """
-    cut = sentences(text, long_words)
+    cut = sentences(text, long_words) if places is None else np.frombuffer(places, dtype="<i4").reshape(-1, 2).tolist()
     gone = sorted({k for s in found for k in range(s["first"], s["first"] + s["n"])})
     if not gone:
         return text, len(cut), 0, ""
