@@ -18,7 +18,7 @@ from pyspark.sql.streaming import StreamingQuery
 from ..functions.features import vectorize
 from ..functions.vectors import decision_json
 from ..operators.index import IvfIndex
-from ..operators.ivf import FAST_NPROBE, NPROBE, adaptive_vote, knn_score
+from ..operators.ivf import FAST_NPROBE, NPROBE, adaptive_decision, adaptive_vote, knn_score
 from ..sources.payloads import parse_payloads, split_rejects
 from .stats import Stats
 
@@ -33,16 +33,17 @@ def route(method: Column, path: Column) -> Column:
     return F.when(is_route(SCORE), "score").when(is_route(READY), "ready")
 
 
-def score_payloads(payloads: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE, key: str = "qid") -> DataFrame:
-    """(qid, n_fraud, approved, response) of parsed payloads with a long ``key``."""
+def score_payloads(payloads: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE, key: str = "qid", work: str | None = None) -> DataFrame:
+    """(qid, n_fraud, approved, response) of parsed payloads with a long ``key``;
+    ``work``: see ``adaptive_decision``."""
     queries = vectorize(payloads, "v").select(F.col(key).alias("qid"), "v")
-    return adaptive_vote(queries, index, fast, full).select("qid", "n_fraud", "approved", decision_json(F.col("n_fraud")).alias("response"))
+    return adaptive_decision(queries, index, fast, full, work=work).select("qid", "n_fraud", "approved", decision_json(F.col("n_fraud")).alias("response"))
 
 
-def score_raw(raw: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE) -> tuple[DataFrame, DataFrame]:
+def score_raw(raw: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE, work: str | None = None) -> tuple[DataFrame, DataFrame]:
     """(decisions, rejected texts) of raw rows (qid, body)."""
     good, bad = split_rejects(parse_payloads(raw))
-    return score_payloads(good, index, fast, full), bad
+    return score_payloads(good, index, fast, full, work=work), bad
 
 
 def respond(requests: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE) -> DataFrame:
