@@ -20,6 +20,7 @@ from ..functions.vectors import decision_json
 from ..operators.index import IvfIndex
 from ..operators.ivf import FAST_NPROBE, NPROBE, adaptive_decision, adaptive_vote, knn_score
 from ..sources.payloads import parse_payloads, split_rejects
+from ..storage import delete, work_path
 from .stats import Stats
 
 # Routes of the service.
@@ -102,15 +103,16 @@ class Scorer:
 
         The rows are those of a micro-batch: kept while they are worked on, so that
         the source is read once."""
-        raw = raw.persist()
+        raw, work = raw.persist(), work_path(raw.sparkSession, "fast-neighbours")
         try:
-            good, bad = score_raw(raw, self.index, self.fast_nprobe, self.nprobe)
             with self.stats.timed("score"):
+                good, bad = score_raw(raw, self.index, self.fast_nprobe, self.nprobe, work)
                 write(good)
             with self.stats.timed("reject"):
                 reject(bad)
         finally:
             raw.unpersist()
+            delete(raw.sparkSession, work)
         self.stats.count(calls=1)
 
 

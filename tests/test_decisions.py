@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tamarack import storage
 from tamarack.operators import ivf, kernels
 from tamarack.operators.index import IvfIndex
 from tamarack.streaming import scorer
@@ -80,3 +81,16 @@ def test_no_query_has_a_neighbour(spark, stored):
     empty = IvfIndex(stored.lists.where("cid < 0"), stored.centroids, stored.scale, np.zeros(stored.k, dtype=np.int64))
     q = spark.createDataFrame([(7, [0.5] * 5)], "qid long, v array<float>")
     assert [r[:] for r in ivf.adaptive_decision(q, empty, 2, 6).collect()] == [(7, 0, 0, True)]
+
+
+def test_a_batch_of_a_stream_looks_further_for_unsure_queries_and_leaves_no_table(spark, stored, mixed, monkeypatch):
+    asked, real = [], ivf.candidates
+    monkeypatch.setattr(ivf, "candidates", lambda q, *a, **b: asked.append(q.count()) or real(q, *a, **b))
+    monkeypatch.setattr(scorer, "vectorize", lambda df, _: df)
+    monkeypatch.setattr(scorer, "parse_payloads", lambda df: df)
+    monkeypatch.setattr(scorer, "split_rejects", lambda df: (df, df.limit(0)))
+    before = storage._inside(spark)
+    q, got = mixed.where("ref_id < 50").select(F.col("ref_id").alias("qid"), "v"), []
+    scorer.Scorer(stored, 6, 2).answer(q, lambda df: got.append(df.count()), lambda df: None)
+    assert got == [50] and storage._inside(spark) == before
+    assert len(asked) == 2 and asked[0] == 50 and 0 < asked[1] < 50
