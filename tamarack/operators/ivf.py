@@ -27,9 +27,11 @@ from pyspark.sql.window import Window
 
 from ..functions.vectors import TOP_K, approved
 from ..storage import work_path
+from . import cells
+from .cells import ranks, vector_array
 from .index import IvfIndex, quantize_matrix
-from .kernels import CELLS, distances, matrix, nearest_in_boxes
-from .search import answered, vote
+from .kernels import matrix, nearest_in_boxes
+from .search import answered, at_most, vote
 
 FAST_NPROBE, NPROBE, BAND = 5, 70, (2, 3)
 BLOCK, SLICE = 16_384, 65_536
@@ -44,15 +46,6 @@ def check_nprobe(nprobe: int, k: int) -> int:
     return min(nprobe, k)
 
 
-def _ranks(q: np.ndarray, centroids: np.ndarray, n: int) -> np.ndarray:
-    """Numbers of the n nearest centroids of each row, nearest first, ties by number."""
-    out, step = [np.zeros((0, n), np.int64)], max(1, CELLS // len(centroids))
-    for at in range(0, len(q), step):
-        d = distances(q[at : at + step].astype(np.float64), centroids.astype(np.float64), True)
-        out.append(np.argsort(d, axis=1, kind="stable")[:, :n])
-    return np.concatenate(out)
-
-
 def probe(queries: DataFrame, index: IvfIndex, nprobe: int, with_vector: bool = False, above: int = 0) -> DataFrame:
     """(qid, crank, cid): the clusters to look into, crank 1 the nearest, those with
     a crank over ``above``; and ``with_vector`` v, the quantised query, and most, if
@@ -70,9 +63,9 @@ def probe(queries: DataFrame, index: IvfIndex, nprobe: int, with_vector: bool =
                 raise ValueError(f"queries of {x.shape[1]} values; the index has {dim}")
             q = quantize_matrix(x, scale)
             qid, rank = np.repeat(b.column("qid").to_numpy(), n), np.tile(np.arange(above + 1, last + 1, dtype=np.int32), b.num_rows)
-            columns = {"qid": pa.array(qid), "crank": pa.array(rank), "cid": pa.array(_ranks(q, centroids, last)[:, above:].reshape(-1).astype(np.int32))}
+            columns = {"qid": pa.array(qid), "crank": pa.array(rank), "cid": pa.array(ranks(q, centroids, last)[:, above:].reshape(-1).astype(np.int32))}
             if with_vector:
-                columns["v"] = pa.ListArray.from_arrays(pa.array(np.arange(0, len(qid) * dim + 1, dim, dtype=np.int32)), pa.array(np.repeat(q, n, axis=0).reshape(-1).astype(np.int16)))
+                columns["v"] = vector_array(np.repeat(q, n, axis=0))
             if limited:
                 columns["most"] = b.column("most").take(pa.array(np.repeat(np.arange(b.num_rows), n)))
             yield pa.RecordBatch.from_pydict(columns)
@@ -147,16 +140,21 @@ def adaptive_vote(queries: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE,
     return counted.withColumn("approved", approved(F.col("n_fraud")))
 
 
-def adaptive_decision(queries: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE, band: tuple[int, ...] = BAND, k: int = TOP_K, work: str | None = None, **options) -> DataFrame:
+def adaptive_decision(queries: DataFrame, index: IvfIndex, fast: int = FAST_NPROBE, full: int = NPROBE, band: tuple[int, ...] = BAND, k: int = TOP_K, work: str | None = None, many: int = BLOCK, **options) -> DataFrame:
     """(qid, fast_count, n_fraud, approved) as ``adaptive_vote`` has them, by two
     scans: only queries whose fast count lies in ``band`` look into the other lists,
     and there only for neighbours closer than their k-th so far.
 
     ``work`` names the path for the neighbours of the fast probe, k rows a query,
-    which the result reads; without it they are in the work folder."""
+    which the result reads; without it they are in the work folder.  More than
+    ``many`` queries go by cells, see there."""
     spark, fast, full = queries.sparkSession, check_nprobe(fast, index.k), check_nprobe(full, index.k)
     if fast >= full:
         band, fast = (), full
+    # By cells a query without a vector in its fast lists has no row before the end.
+    if not options.get("skip_self") and 0 not in band and not at_most(queries, many):
+        options.pop("skip_self", None)
+        return cells.decide(queries, index, fast, full, band, k, work or work_path(spark, "decisions"), **options)
     count = lambda df, name: df.groupBy("qid").agg(F.sum("label").cast("int").alias(name), F.count("*").alias("n"), F.max("d").alias("far"))
     near = _top(candidates(queries, index, fast, k, **options), k)
     if not band:

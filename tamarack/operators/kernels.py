@@ -100,7 +100,7 @@ def _boxes(refs: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def _least(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+def box_distances(queries: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """A row for each box: no vector in it is closer to the query than this."""
     out = np.zeros((len(low), len(queries)))
     for i in range(queries.shape[1]):
@@ -132,7 +132,7 @@ def nearest_in_boxes(refs: np.ndarray, ids: np.ndarray, queries: np.ndarray, qid
     step, found = max(1, CELLS // max(LEAF, len(boxes))), [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
     for at in range(0, len(queries), step):
         q, own = queries[at : at + step], qids[at : at + step]
-        least = _least(q, low, high)
+        least = box_distances(q, low, high)
         best, kth = np.full((len(q), k), np.inf), most[at : at + step].astype(np.float64)
         seen: list[tuple[np.ndarray, ...]] = []
 

@@ -118,7 +118,7 @@ def _moves() -> str:
     return f"WITH {_kmeans(ROUNDS)}\n" + "\nUNION ALL ".join(each)
 
 
-def _index(base: str = BASE) -> str:
+def _index(base: str = BASE, queries: str = "WHERE l.vec_id % 100 = 0") -> str:
     return f"""{_kmeans(ROUNDS, base)}, sc AS (
   SELECT 16383::DOUBLE / greatest((SELECT largest FROM am), (SELECT max(list_max(list_transform(c, lambda x: abs(x)))) FROM c{ROUNDS})) AS scale
 ), lists AS MATERIALIZED (
@@ -127,7 +127,7 @@ def _index(base: str = BASE) -> str:
   SELECT cid, list_transform(c, lambda x: {_round("x * sc.scale")}) AS v FROM c{ROUNDS}, sc
 ), probes AS MATERIALIZED (
   SELECT l.vec_id AS qid, l.v AS qv, l.label AS actual, c.cid, CAST(row_number() OVER (PARTITION BY l.vec_id ORDER BY {_distance("l.v", "c.v")}, c.cid) AS INTEGER) AS crank
-  FROM lists l, cents c WHERE l.vec_id % 100 = 0
+  FROM lists l, cents c {queries}
 ), cand AS MATERIALIZED (
   SELECT p.qid, p.actual, p.crank, l.vec_id, l.label, CAST({_distance("p.qv", "l.v")} AS BIGINT) AS d FROM probes p JOIN lists l USING (cid)
 )"""
@@ -213,7 +213,7 @@ SELECT event_type, count(*) AS calls, CAST(sum(c) AS BIGINT) AS total, max(c) AS
     "ivf_stored_recall": _recall(DEEP),
     "knn_score": f"""WITH {INDEX}, {_ivf_top(DEEP, False, 't')}, s AS (SELECT qid, CAST(sum(label) AS INTEGER) AS n_fraud FROM t GROUP BY qid)
 SELECT qid, n_fraud, n_fraud / 5.0::DOUBLE AS fraud_score, n_fraud < 3 AS approved FROM s""",
-    "score_payloads": _adaptive(_index(EVENTS), FAST, DEEP, f"qid, {RESPONSE} AS response"),
+    "score_payloads": _adaptive(_index(EVENTS, ""), FAST, DEEP, f"qid, {RESPONSE} AS response"),
     "stream_decisions": _adaptive(_index(EVENTS), FAST, DEEP, f"qid, {RESPONSE} AS response"),
     "respond": f"""WITH {PAYLOADS} SELECT event_id AS qid, CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 400 END AS status,
   CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'not found' ELSE 'bad request' END AS response FROM p""",
