@@ -214,7 +214,7 @@ SELECT event_type, count(*) AS calls, CAST(sum(c) AS BIGINT) AS total, max(c) AS
     "knn_score": f"""WITH {INDEX}, {_ivf_top(DEEP, False, 't')}, s AS (SELECT qid, CAST(sum(label) AS INTEGER) AS n_fraud FROM t GROUP BY qid)
 SELECT qid, n_fraud, n_fraud / 5.0::DOUBLE AS fraud_score, n_fraud < 3 AS approved FROM s""",
     "score_payloads": _adaptive(_index(EVENTS, ""), FAST, DEEP, f"qid, {RESPONSE} AS response"),
-    "stream_decisions": _adaptive(_index(EVENTS), FAST, DEEP, f"qid, {RESPONSE} AS response"),
+    "stream_decisions": _adaptive(_index(EVENTS, ""), FAST, DEEP, f"qid, {RESPONSE} AS response"),
     "respond": f"""WITH {PAYLOADS} SELECT event_id AS qid, CASE event_id % 3 WHEN 0 THEN 200 WHEN 1 THEN 404 ELSE 400 END AS status,
   CASE event_id % 3 WHEN 0 THEN 'ok' WHEN 1 THEN 'not found' ELSE 'bad request' END AS response FROM p""",
     "references_json": f"SELECT vec_id AS ref_id, CASE WHEN label < 3 THEN 1 ELSE 0 END AS label, CAST(i - 1 AS INTEGER) AS dim, CAST(embedding[i] AS DOUBLE) AS x FROM (SELECT *, unnest(range(1, len(embedding) + 1)) AS i FROM embeddings)",

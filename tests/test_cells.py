@@ -29,7 +29,7 @@ def stored(spark, mixed, tmp_path_factory):
     return IvfIndex.load(spark, path)
 
 
-@pytest.mark.parametrize("name", ["score_payloads"])
+@pytest.mark.parametrize("name", ["score_payloads", "stream_decisions"])
 def test_every_payload_is_answered(spark, name):
     got = [r.qid for r in entry.queries()[name](spark, SMALL).collect()]
     every = [r.event_id for r in spark.read.parquet(f"{SMALL}/events.parquet").select("event_id").collect()]
