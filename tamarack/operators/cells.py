@@ -27,7 +27,7 @@ from ..functions.vectors import approved
 from .index import IvfIndex, quantize_matrix
 from .kernels import CELLS, box_distances, distances, matrix, nearest_in_boxes
 
-#: Vectors of a cell, by estimate, and queries that meet it in one task; vectors seen for a cell's borders; cells at most.
+#: By estimate, vectors of a cell at most and queries that meet it in one task; vectors seen for a cell; cells, or up to twice as many.
 ROWS, BLOCK, SEEN, MOST_CELLS = 32_768, 16_384, 64, 8192
 _FOUND = "array<struct<d:long,crank:int,ref_id:long,label:int>>"
 _FOUND_FIELDS = [("d", pa.int64()), ("crank", pa.int32()), ("ref_id", pa.int64()), ("label", pa.int32())]
